@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.plans import cohort_queries, oracle_cohort
+from cohortflow.plans import cohort_queries, eda_queries, oracle_cohort, oracle_eda
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [(cohort_queries, oracle_cohort)]
+_MODULES = [(cohort_queries, oracle_cohort), (eda_queries, oracle_eda)]
 
 
 def all_queries() -> dict[str, QueryFn]:

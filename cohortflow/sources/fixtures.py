@@ -291,4 +291,4 @@ ATTR_WEIGHTS = {
 
 def cte(**parts: str) -> str:
     """Join named CTE bodies into a WITH clause."""
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in parts.items()) + "\n"
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in parts.items()) + "\n"
