@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.plans import cohort_queries, eda_queries, oracle_cohort, oracle_eda
+from cohortflow.plans import cohort_queries, eda_queries, oracle_cohort, oracle_eda, oracle_stats, stats_queries
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [(cohort_queries, oracle_cohort), (eda_queries, oracle_eda)]
+_MODULES = [(cohort_queries, oracle_cohort), (eda_queries, oracle_eda), (stats_queries, oracle_stats)]
 
 
 def all_queries() -> dict[str, QueryFn]:

@@ -166,19 +166,19 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = F.col(c)
         order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", c)
         aggs += [
-            F.avg(v).alias(f"{short}_mean"),
+            rdp(F.avg(v), 9).alias(f"{short}_mean"),
             F.max(v).alias(f"{short}_max"),
             F.min(v).alias(f"{short}_min"),
-            F.stddev_samp(v).alias(f"{short}_std"),
+            rdp(F.stddev_samp(v), 9).alias(f"{short}_std"),
             F.max_by(v, F.when(v.isNotNull(), order)).alias(f"{short}_last"),
         ]
     aggs += [
-        F.avg(F.when(F.col("l_shipdate") >= F.lit(LATE_FROM).cast("timestamp_ntz"), F.col("l_extendedprice"))).alias(
+        rdp(F.avg(F.when(F.col("l_shipdate") >= F.lit(LATE_FROM).cast("timestamp_ntz"), F.col("l_extendedprice"))), 9).alias(
             "late_price_mean"
         ),
-        F.avg(
+        rdp(F.avg(
             F.when(F.col("l_shipdate") >= F.lit(SPARSE_FROM).cast("timestamp_ntz"), F.col("l_extendedprice"))
-        ).alias("sparse_price_mean"),
+        ), 9).alias("sparse_price_mean"),
     ]
     per_line = lines.groupBy("o_custkey").agg(*aggs)
     out = (
@@ -200,19 +200,24 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _r9(x: str) -> str:
+    # computed aggregates are rounded to 9 places in both engines so ties do not depend on summation order
+    return f"(floor(({x}) * 1e9 + 0.5) / 1e9)"
+
+
 def _b_stats_sql() -> str:
     parts = []
     for short, c in B_MEASURES.items():
         parts += [
-            f"avg({c}) AS {short}_mean",
+            f"{_r9(f'avg({c})')} AS {short}_mean",
             f"max({c}) AS {short}_max",
             f"min({c}) AS {short}_min",
-            f"stddev_samp({c}) AS {short}_std",
+            f"{_r9(f'stddev_samp({c})')} AS {short}_std",
             f"arg_max({c}, (l_shipdate, l_orderkey, l_linenumber, {c})) FILTER (WHERE {c} IS NOT NULL) AS {short}_last",
         ]
     parts += [
-        f"avg(CASE WHEN l_shipdate >= TIMESTAMP '{LATE_FROM}' THEN l_extendedprice END) AS late_price_mean",
-        f"avg(CASE WHEN l_shipdate >= TIMESTAMP '{SPARSE_FROM}' THEN l_extendedprice END) AS sparse_price_mean",
+        f"{_r9(f"avg(CASE WHEN l_shipdate >= TIMESTAMP '{LATE_FROM}' THEN l_extendedprice END)")} AS late_price_mean",
+        f"{_r9(f"avg(CASE WHEN l_shipdate >= TIMESTAMP '{SPARSE_FROM}' THEN l_extendedprice END)")} AS sparse_price_mean",
     ]
     return ",\n       ".join(parts)
 
