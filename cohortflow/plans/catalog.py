@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.plans import cohort_queries, eda_queries, oracle_cohort, oracle_eda, oracle_stats, stats_queries
+from cohortflow.plans import (
+    cohort_queries,
+    eda_queries,
+    eval_queries,
+    oracle_cohort,
+    oracle_eda,
+    oracle_eval,
+    oracle_stats,
+    stats_queries,
+)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [(cohort_queries, oracle_cohort), (eda_queries, oracle_eda), (stats_queries, oracle_stats)]
+_MODULES = [
+    (cohort_queries, oracle_cohort), (eda_queries, oracle_eda), (stats_queries, oracle_stats),
+    (eval_queries, oracle_eval),
+]
 
 
 def all_queries() -> dict[str, QueryFn]:
