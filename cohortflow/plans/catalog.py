@@ -13,7 +13,9 @@ from cohortflow.plans import (
     oracle_cohort,
     oracle_eda,
     oracle_eval,
+    oracle_prep,
     oracle_stats,
+    prep_queries,
     stats_queries,
 )
 
@@ -22,6 +24,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _MODULES = [
     (cohort_queries, oracle_cohort), (eda_queries, oracle_eda), (stats_queries, oracle_stats),
     (eval_queries, oracle_eval),
+    (prep_queries, oracle_prep),
 ]
 
 
