@@ -10,9 +10,11 @@ from cohortflow.plans import (
     cohort_queries,
     eda_queries,
     eval_queries,
+    explain_queries,
     oracle_cohort,
     oracle_eda,
     oracle_eval,
+    oracle_explain,
     oracle_prep,
     oracle_stats,
     prep_queries,
@@ -25,6 +27,7 @@ _MODULES = [
     (cohort_queries, oracle_cohort), (eda_queries, oracle_eda), (stats_queries, oracle_stats),
     (eval_queries, oracle_eval),
     (prep_queries, oracle_prep),
+    (explain_queries, oracle_explain),
 ]
 
 
