@@ -61,3 +61,60 @@ def prefix_sums(
         out = out.withColumn(f"{c}_before", F.col(f"{c}_upto") - F.col(c))
     return out
 
+
+
+def running_stats(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    value_cols: Sequence[str],
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Expanding (history + current row) count / mean / max / min / sample std per value column.
+
+    Same two-level scheme as ``prefix_sums``: a hot group is spread over range slices; each slice carries
+    the combined state (count, sum, sum of squares, max, min) of all earlier slices of its group.  Order keys
+    must be unique within a group.  NULL values are skipped like SQL aggregates.  Adds ``{c}_n``,
+    ``{c}_mean``, ``{c}_max``, ``{c}_min``, ``{c}_std`` (NULL for fewer than two values)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ords = [F.col(c).asc() for c in order_cols]
+    ranged = cut_lineage(
+        df.repartitionByRange(n, *[F.col(g).asc() for g in group_cols], *ords).withColumn(_PID, F.spark_partition_id())
+    )
+    aggs = []
+    for c in value_cols:
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"_t_n_{c}"), F.sum(v).alias(f"_t_s_{c}"), F.sum(v * v).alias(f"_t_q_{c}"),
+                 F.max(v).alias(f"_t_hi_{c}"), F.min(v).alias(f"_t_lo_{c}")]
+    totals = ranged.groupBy(_PID, *group_cols).agg(*aggs)
+    w_off = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offs = []
+    for c in value_cols:
+        offs += [
+            F.coalesce(F.sum(f"_t_n_{c}").over(w_off), F.lit(0)).alias(f"_o_n_{c}"),
+            F.coalesce(F.sum(f"_t_s_{c}").over(w_off), F.lit(0.0)).alias(f"_o_s_{c}"),
+            F.coalesce(F.sum(f"_t_q_{c}").over(w_off), F.lit(0.0)).alias(f"_o_q_{c}"),
+            F.max(f"_t_hi_{c}").over(w_off).alias(f"_o_hi_{c}"),
+            F.min(f"_t_lo_{c}").over(w_off).alias(f"_o_lo_{c}"),
+        ]
+    offsets = totals.select(_PID, *group_cols, *offs)
+    w_in = Window.partitionBy(_PID, *group_cols).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
+    j = ranged.join(offsets, [_PID, *group_cols])
+    out_cols = []
+    for c in value_cols:
+        v = F.col(c).cast("double")
+        cnt = F.col(f"_o_n_{c}") + F.count(v).over(w_in)
+        s = F.col(f"_o_s_{c}") + F.coalesce(F.sum(v).over(w_in), F.lit(0.0))
+        q = F.col(f"_o_q_{c}") + F.coalesce(F.sum(v * v).over(w_in), F.lit(0.0))
+        hi = F.greatest(F.col(f"_o_hi_{c}"), F.max(v).over(w_in))
+        lo = F.least(F.col(f"_o_lo_{c}"), F.min(v).over(w_in))
+        m2 = F.greatest(q - s * s / cnt, F.lit(0.0))
+        out_cols += [
+            cnt.alias(f"{c}_n"),
+            F.when(cnt > 0, s / cnt).alias(f"{c}_mean"),
+            hi.alias(f"{c}_max"),
+            lo.alias(f"{c}_min"),
+            F.when(cnt > 1, F.sqrt(m2 / (cnt - F.lit(1)))).alias(f"{c}_std"),
+        ]
+    return j.select(*[F.col(c) for c in df.columns], *out_cols)

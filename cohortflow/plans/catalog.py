@@ -17,8 +17,10 @@ from cohortflow.plans import (
     oracle_explain,
     oracle_prep,
     oracle_stats,
+    oracle_store,
     prep_queries,
     stats_queries,
+    store_queries,
 )
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,7 @@ _MODULES = [
     (eval_queries, oracle_eval),
     (prep_queries, oracle_prep),
     (explain_queries, oracle_explain),
+    (store_queries, oracle_store),
 ]
 
 

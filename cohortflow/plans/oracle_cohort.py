@@ -101,7 +101,8 @@ WHERE age >= {RULES.min_age}
 """
 
 
-def with_lab(upto: str = "features") -> str:
+def lab_parts(upto: str = "features") -> dict[str, str]:
+    """The fixture-A CTE chain up to (and including) ``upto``."""
     parts = [
         ("lab_raw", FX.LAB_RAW_SQL),
         ("lab_parsed", PARSED),
@@ -115,7 +116,11 @@ def with_lab(upto: str = "features") -> str:
     ]
     names = [n for n, _ in parts]
     stop = names.index(upto) + 1
-    return FX.cte(**dict(parts[:stop]))
+    return dict(parts[:stop])
+
+
+def with_lab(upto: str = "features") -> str:
+    return FX.cte(**lab_parts(upto))
 
 
 FEATURE_DOUBLES = [f"{p}_{s}" for p in FX.PANELS for s in FX.B_STATS]

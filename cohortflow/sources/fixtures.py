@@ -61,7 +61,11 @@ def _code_expr(panel: F.Column, k: F.Column) -> F.Column:
 
 def lab_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tall measurement rows: text result, raw birth year text, codes on alternate rows."""
-    ev = read_table(spark, sf_dir, "events")
+    return lab_rows_from_events(read_table(spark, sf_dir, "events"))
+
+
+def lab_rows_from_events(ev: DataFrame) -> DataFrame:
+    """The fixture-A derivation on any events frame (batch or stream)."""
     k = F.regexp_extract("props", "[0-9]+", 0).try_cast("int")
     code = _code_expr(F.col("event_type"), k)
     even = (F.col("event_id") % 2) == 0
