@@ -21,6 +21,7 @@ from cohortflow.plans import (
     prep_queries,
     stats_queries,
     store_queries,
+    train_queries,
 )
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ _MODULES = [
     (prep_queries, oracle_prep),
     (explain_queries, oracle_explain),
     (store_queries, oracle_store),
+    (train_queries, train_queries),
 ]
 
 
