@@ -131,10 +131,10 @@ def missing_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # AGG-16 -------------------------------------------------------------------------------------
 def zero_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    row = df.agg(*[F.countDistinct(c).alias(c) for c in columns])
-    return row.unpivot([], list(columns), "feature", "n_distinct").withColumn(
-        "zero_variance", (F.col("n_distinct") <= 1)
-    )
+    """A column is constant when it has at most one distinct non-null value, i.e. min == max (or all NULL):
+    one pass of min/max, no distinct aggregation."""
+    row = df.agg(*[(F.coalesce(F.min(c) == F.max(c), F.lit(True))).alias(c) for c in columns])
+    return row.unpivot([], list(columns), "feature", "zero_variance")
 
 
 # AGG-17 / JN-7 / SRT-6 ---------------------------------------------------------------------
@@ -145,19 +145,27 @@ def _guarded_corr(a: Column, b: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], include_diagonal: bool = False) -> DataFrame:
-    """Pearson r with pairwise deletion for every pair i<j, in one aggregate (one scan, partial agg).
-
-    A constant column gives NULL (never a division error)."""
+    """Pearson r with pairwise deletion for every pair i<j: each row is expanded to its (pair, x, y) cells in
+    the scan stage and reduced by a grouped aggregate with map-side partial aggregation, so the shuffle
+    carries only #partitions x #pairs partial states.  A constant column gives NULL (never an error)."""
     cols = list(columns)
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if include_diagonal:
         pairs += [(c, c) for c in cols]
-    exprs = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), _guarded_corr(F.col(a), F.col(b)).alias("r"))
-        for a, b in pairs
-    ]
-    row = df.agg(F.array(*exprs).alias("_p"))
-    return row.select(F.inline("_p"))
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
+            )
+            for a, b in pairs
+        ]
+    )
+    tall = df.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    agg = tall.groupBy("feature_a", "feature_b").agg(
+        F.covar_pop("x", "y").alias("_c"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy")
+    )
+    return agg.select("feature_a", "feature_b", F.try_divide(F.col("_c"), F.col("_sx") * F.col("_sy")).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -11,6 +11,11 @@ A global running sum (``Window.orderBy`` without ``partitionBy``) puts every row
 
 The result is exact.  Callers collapse duplicates first (counts per distinct value), which is the large
 reduction for ROC / Mann-Whitney / quantiles, where values repeat.
+
+Fast path: one small aggregate measures the largest group; when it is within
+``spark.cohortflow.prefix.localLimit`` rows (default 2,000,000 -- what one task sorts comfortably) a plain
+per-group running window is used.  Beyond that bound the two-level scheme above runs, so no task ever
+holds more than the bound or one range slice.
 """
 
 from __future__ import annotations
@@ -23,6 +28,19 @@ from pyspark.sql import functions as F
 from cohortflow.session import cut_lineage
 
 _PID = "_slice"
+_LIMIT_KEY = "spark.cohortflow.prefix.localLimit"
+_DEFAULT_LIMIT = 2_000_000
+
+
+def local_limit(spark) -> int:
+    return int(spark.conf.get(_LIMIT_KEY, str(_DEFAULT_LIMIT)))
+
+
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Rows in the largest group (one small aggregate; <= #groups rows reach the driver as one number)."""
+    if not group_cols:
+        return df.count()
+    return df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
 
 
 def prefix_sums(
@@ -41,6 +59,12 @@ def prefix_sums(
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ords: list[Column] = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    if group_cols and largest_group(df, group_cols) <= local_limit(spark):
+        w = Window.partitionBy(*group_cols).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
+        out = df.select(*[F.col(c) for c in df.columns], *[F.sum(c).over(w).alias(f"{c}_upto") for c in sum_cols])
+        for c in sum_cols:
+            out = out.withColumn(f"{c}_before", F.col(f"{c}_upto") - F.col(c))
+        return out
     ranged = df.repartitionByRange(n, *[F.col(g).asc() for g in group_cols], *ords).withColumn(
         _PID, F.spark_partition_id()
     )
@@ -79,6 +103,20 @@ def running_stats(
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ords = [F.col(c).asc() for c in order_cols]
+    if largest_group(df, group_cols) <= local_limit(spark):
+        w = Window.partitionBy(*group_cols).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
+        cols = []
+        for c in value_cols:
+            v = F.col(c).cast("double")
+            cnt = F.count(v).over(w)
+            cols += [
+                cnt.alias(f"{c}_n"),
+                F.avg(v).over(w).alias(f"{c}_mean"),
+                F.max(v).over(w).alias(f"{c}_max"),
+                F.min(v).over(w).alias(f"{c}_min"),
+                F.stddev_samp(v).over(w).alias(f"{c}_std"),
+            ]
+        return df.select(*[F.col(c) for c in df.columns], *cols)
     ranged = cut_lineage(
         df.repartitionByRange(n, *[F.col(g).asc() for g in group_cols], *ords).withColumn(_PID, F.spark_partition_id())
     )

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from cohortflow.operators import cohort as C
 from cohortflow.plans.common import round_doubles
+from cohortflow.session import materialized
 from cohortflow.sources import fixtures as FX
 
 RULES = FX.FIXTURE_RULES
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.parse_measurements(FX.lab_raw(spark, sf_dir))
+    return materialized(spark, f"lab-parsed:{sf_dir}", lambda: C.parse_measurements(FX.lab_raw(spark, sf_dir)))
 
 
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,9 @@ def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.entity_rollup(_windowed(spark, sf_dir), panels=FX.PANELS)
+    return materialized(
+        spark, f"entities:{sf_dir}", lambda: C.entity_rollup(_windowed(spark, sf_dir), panels=FX.PANELS)
+    )
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from cohortflow.functions.scalar import recode
 from cohortflow.operators import eda, visits
 from cohortflow.plans.cohort_queries import RULES, _parsed, _windowed, entity_features, q_code_flags
 from cohortflow.plans.common import round_doubles
+from cohortflow.session import materialized
 from cohortflow.sources import fixtures as FX
 
 CATEGORICAL = ["flag_urgent", "segment"]
@@ -23,7 +24,7 @@ ID_COLS = ["row_id", "c_name", "label"]
 
 
 def b_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FX.customer_features(spark, sf_dir)
+    return materialized(spark, f"fixture-b:{sf_dir}", lambda: FX.customer_features(spark, sf_dir))
 
 
 def b_tall(spark: SparkSession, sf_dir: str, features=None) -> DataFrame:
@@ -94,7 +95,7 @@ def q_present_filter(spark, sf_dir):
 
 
 def visit_table(spark, sf_dir):
-    return visits.visit_wide(_windowed(spark, sf_dir), FX.PANELS)
+    return materialized(spark, f"visits:{sf_dir}", lambda: visits.visit_wide(_windowed(spark, sf_dir), FX.PANELS))
 
 
 def q_visit_wide(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortflow.operators import evaluate as EV
 from cohortflow.plans.common import round_doubles
+from cohortflow.plans.eda_queries import b_table
 from cohortflow.sources import fixtures as FX
 
 MIN_PRECISION = 0.3
@@ -11,7 +12,7 @@ MIN_RECALL = 0.5
 
 
 def scored(spark, sf_dir):
-    return FX.scored(spark, sf_dir)
+    return FX.scored(spark, sf_dir, b_table(spark, sf_dir))
 
 
 def q_confusion(spark, sf_dir):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from cohortflow.operators.eda import to_tall
 from cohortflow.operators.resample import knn_exact, smote
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import b_table
+from cohortflow.session import cut_lineage, session_object
 from cohortflow.sources import fixtures as FX
 from cohortflow.sources.sinks import roundtrip_parquet
 
@@ -38,7 +37,7 @@ class Prepared:
     """Split + parameters fitted on the training rows (per-feature scalars only on the driver)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.split = split_table(spark, sf_dir)
+        self.split = cut_lineage(split_table(spark, sf_dir))
         self.train = self.split.filter(F.col("split") == "train")
         ratios = {r["feature"]: r["missing_ratio"] for r in _ratios(self.split).collect()}  # <= #features
         self.dropped = [f for f in MISSING_COLS if (ratios.get(f) or 0.0) > MISSING_THRESHOLD]
@@ -53,13 +52,8 @@ class Prepared:
         return P.round_features(t, MODEL_FEATURES)
 
 
-@lru_cache(maxsize=4)
-def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
-    return Prepared(spark, sf_dir)
-
-
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
-    return _prepared(spark, sf_dir)
+    return session_object(spark, f"prepared:{sf_dir}", lambda: Prepared(spark, sf_dir))
 
 
 def q_stratified_split(spark, sf_dir):

@@ -12,7 +12,7 @@ from cohortflow.operators import store as S
 from cohortflow.plans.cohort_queries import RULES, q_code_flags, q_cohort_select
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import visit_table
-from cohortflow.session import read_table, scratch_path
+from cohortflow.session import materialized, read_table, scratch_path
 from cohortflow.sources import fixtures as FX
 from cohortflow.sources.sinks import roundtrip_csv, roundtrip_parquet
 from cohortflow.streaming.features import run_feature_stream
@@ -29,6 +29,10 @@ SCORE_INTERCEPT = -1.0
 
 def store_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (patient, visit day): three panels as lab values plus patient-level flags and age."""
+    return materialized(spark, f"store-source:{sf_dir}", lambda: _store_source(spark, sf_dir))
+
+
+def _store_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = visit_table(spark, sf_dir)
     flags = q_code_flags(spark, sf_dir).select(*FX.PATIENT_KEYS, *STORE_FLAGS)
     j = v.join(flags, FX.PATIENT_KEYS)

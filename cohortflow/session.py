@@ -64,4 +64,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet scan; an input smaller than one split per core (e.g. a single row group) is spread over the
+    cores so the first stage is not one task.  Large inputs already have many splits and are left as is."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
+
+
+_MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
+_OBJECTS: dict[tuple[str, str], object] = {}
+
+
+def session_object(spark: SparkSession, key: str, build):
+    """A driver-side object (fitted parameters, models) built once per application."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _OBJECTS:
+        _OBJECTS[k] = build()
+    return _OBJECTS[k]
+
+
+def materialized(spark: SparkSession, key: str, build) -> DataFrame:
+    """A derived table computed once per application and kept as a reliable checkpoint in the shared folder
+    (the analogue of writing the feature table once and reading it in every later step)."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _MATERIALIZED:
+        _MATERIALIZED[k] = cut_lineage(build())
+    return _MATERIALIZED[k]

@@ -251,8 +251,8 @@ LEFT JOIN (SELECT o_custkey,
 SCORE_MODELS = ["balance", "balance_tied", "quantity", "price"]
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = customer_features(spark, sf_dir)
+def scored(spark: SparkSession, sf_dir: str, b: DataFrame | None = None) -> DataFrame:
+    b = b if b is not None else customer_features(spark, sf_dir)
     p_bal = F.least(F.greatest((F.col("balance") + F.lit(1000.0)) / F.lit(11000.0), F.lit(0.0)), F.lit(1.0))
     p_qty = F.least(F.greatest((F.col("qty_mean") - F.lit(1.0)) / F.lit(49.0), F.lit(0.0)), F.lit(1.0))
     p_price = F.least(F.col("price_max") / F.lit(110000.0), F.lit(1.0))
