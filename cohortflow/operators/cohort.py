@@ -182,11 +182,11 @@ def entity_rollup(
     * ``std`` is the sample std; a single measurement gets 0 when ``single_std_zero`` (mean non-null);
     * code lists: distinct trimmed codes joined by ', ' in first-seen order, NULL when none.
 
-    NULL keys form their own groups (SQL GROUP BY semantics).  Code rows are pre-aggregated to
-    (entity, code) and fed to the same final aggregation through a union, so one shuffle serves both.
+    NULL keys form their own groups (SQL GROUP BY semantics).  Numeric statistics are one code-generated
+    hash aggregate; code rows are pre-aggregated to (entity, code) before their per-entity lists are built,
+    so a hot entity is reduced map-side in both.
     """
     keys = list(keys)
-    codes = _code_first_seen(tall, keys, code_cols, ts_col, row_id_col)
     meas = tall.select(
         *keys,
         F.col(panel_col).alias("_panel"),
@@ -194,8 +194,6 @@ def entity_rollup(
         F.col(ts_col).alias("_ts"),
         F.col(row_id_col).alias("_rid"),
     )
-    both = meas.unionByName(codes, allowMissingColumns=True)
-
     aggs: list[Column] = []
     order = F.struct(F.col("_ts"), F.col("_rid"))
     for p in panels:
@@ -208,13 +206,9 @@ def entity_rollup(
             F.max_by(v, F.when(v.isNotNull(), order)).alias(f"{p}_last"),
         ]
     aggs += [F.min("_ts").alias("first_at"), F.max("_ts").alias("last_at")]
-    for c in code_cols:
-        item = F.when(F.col("_kind") == F.lit(c), F.struct(F.col("_first").alias("f"), F.col("_code").alias("c")))
-        arr = F.array_sort(F.collect_list(item))
-        aggs.append(F.when(F.size(arr) > 0, F.array_join(F.transform(arr, lambda x: x["c"]), ", ")).alias(c))
-    out = both.groupBy(*keys).agg(*aggs)
+    numeric = meas.groupBy(*keys).agg(*aggs)  # declarative aggregates only: code-generated hash aggregation
     if single_std_zero:
-        out = out.withColumns(
+        numeric = numeric.withColumns(
             {
                 f"{p}_std": F.when(
                     F.col(f"{p}_mean").isNotNull() & F.col(f"{p}_std").isNull(), F.lit(0.0)
@@ -222,7 +216,21 @@ def entity_rollup(
                 for p in panels
             }
         )
-    return out
+    # code lists: (entity, code) first sightings, then one bounded list per entity (distinct codes only)
+    codes = _code_first_seen(tall, keys, code_cols, ts_col, row_id_col)
+    lists = []
+    for c in code_cols:
+        item = F.when(F.col("_kind") == F.lit(c), F.struct(F.col("_first").alias("f"), F.col("_code").alias("c")))
+        arr = F.array_sort(F.collect_list(item))
+        lists.append(F.when(F.size(arr) > 0, F.array_join(F.transform(arr, lambda x: x["c"]), ", ")).alias(c))
+    code_lists = codes.groupBy(*keys).agg(*lists)
+    # entity-grain join (far smaller than the measurement rows); NULL keys match like GROUP BY groups
+    n, cl = numeric.alias("n"), code_lists.alias("c")
+    cond = None
+    for k in keys:
+        e = F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}"))
+        cond = e if cond is None else cond & e
+    return n.join(cl, cond, "left").select("n.*", *[F.col(f"c.{c}") for c in code_cols])
 
 
 # ---------------------------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,27 +147,48 @@ def _guarded_corr(a: Column, b: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], include_diagonal: bool = False) -> DataFrame:
-    """Pearson r with pairwise deletion for every pair i<j: each row is expanded to its (pair, x, y) cells in
-    the scan stage and reduced by a grouped aggregate with map-side partial aggregation, so the shuffle
-    carries only #partitions x #pairs partial states.  A constant column gives NULL (never an error)."""
+    """Pearson r with pairwise deletion for every pair i<j, from masked Gram matrices.
+
+    One pass: every task turns its Arrow batches into k x k partial sums (pair counts, sums, sums of squares
+    and cross products over the rows where both columns are present) with numpy, values shifted by the
+    column means for numerical stability; a grouped sum over (#tasks x k^2) rows finishes it.  r is NULL
+    when either column is constant over the pair's rows (never a division error)."""
     cols = list(columns)
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if include_diagonal:
-        pairs += [(c, c) for c in cols]
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
-            )
-            for a, b in pairs
-        ]
-    )
-    tall = df.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    agg = tall.groupBy("feature_a", "feature_b").agg(
-        F.covar_pop("x", "y").alias("_c"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy")
+    k = len(cols)
+    shift_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()  # k numbers
+    shift = np.array([shift_row[c] if shift_row[c] is not None else 0.0 for c in cols], dtype=float)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)] + ([(i, i) for i in range(k)] if include_diagonal else [])
+    pi = np.array([p[0] for p in pairs], dtype=int)
+    pj = np.array([p[1] for p in pairs], dtype=int)
+
+    def partial(batches):
+        n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - shift
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype(float)
+            n += mf.T @ mf
+            sx += x0.T @ mf          # [i, j] = sum of x_i over rows where i and j are present
+            sxx += (x0 * x0).T @ mf
+            sxy += x0.T @ x0
+        yield pd.DataFrame({
+            "i": pi, "j": pj, "n": n[pi, pj], "sx": sx[pi, pj], "sy": sx[pj, pi],
+            "sxx": sxx[pi, pj], "syy": sxx[pj, pi], "sxy": sxy[pi, pj],
+        })
+
+    vals = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    parts = vals.mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    tot = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
+    cov = F.col("sxy") / F.col("n") - (F.col("sx") / F.col("n")) * (F.col("sy") / F.col("n"))
+    vx = F.col("sxx") / F.col("n") - F.pow(F.col("sx") / F.col("n"), 2)
+    vy = F.col("syy") / F.col("n") - F.pow(F.col("sy") / F.col("n"), 2)
+    den = F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
+    names = F.array(*[F.lit(c) for c in cols])
+    r = F.when((F.col("n") > 0) & (den > F.lit(1e-300)), F.least(F.greatest(cov / den, F.lit(-1.0)), F.lit(1.0)))
+    return tot.select(
+        F.element_at(names, F.col("i") + 1).alias("feature_a"), F.element_at(names, F.col("j") + 1).alias("feature_b"), r.alias("r")
     )
-    return agg.select("feature_a", "feature_b", F.try_divide(F.col("_c"), F.col("_sx") * F.col("_sy")).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -66,10 +67,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; an input smaller than one split per core (e.g. a single row group) is spread over the
     cores so the first stage is not one task.  Large inputs already have many splits and are left as is."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition over the cores only when a frame has fewer partitions than cores (small inputs, or small
+    results that adaptive execution merged into one partition).  Large frames are returned unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+        return df.repartition(cores)
     return df
 
 
@@ -86,9 +92,10 @@ def session_object(spark: SparkSession, key: str, build):
 
 
 def materialized(spark: SparkSession, key: str, build) -> DataFrame:
-    """A derived table computed once per application and kept as a reliable checkpoint in the shared folder
-    (the analogue of writing the feature table once and reading it in every later step)."""
+    """A derived table computed once per application and reused by later steps (the analogue of writing the
+    feature table once and reading it in every later step).  Kept with MEMORY_AND_DISK persistence: blocks
+    lost with an executor are recomputed from lineage, so reuse never changes results."""
     k = (spark.sparkContext.applicationId, key)
     if k not in _MATERIALIZED:
-        _MATERIALIZED[k] = cut_lineage(build())
+        _MATERIALIZED[k] = spread(build()).persist(StorageLevel.MEMORY_AND_DISK)
     return _MATERIALIZED[k]
