@@ -18,6 +18,7 @@ from cohortflow.functions.scalar import (
     any_code_pattern,
     lenient_double,
     lenient_timestamp,
+    nan_to_null,
     rule_text,
     word_flag_pattern,
 )
@@ -87,8 +88,13 @@ def union_panels(
 def parse_measurements(
     df: DataFrame, result_col: str = "result", ts_col: str = "performed_at", value_col: str = "value"
 ) -> DataFrame:
-    """PRJ-1/2/9: lenient numeric and timestamp casts; NaN becomes NULL."""
-    return df.withColumns({value_col: lenient_double(result_col), ts_col: lenient_timestamp(ts_col)})
+    """PRJ-1/2/9: lenient numeric and timestamp casts; NaN becomes NULL.  Columns that already have the
+    target type are kept as they are, so later range filters on them still reach the parquet scan."""
+    ts_type = df.schema[ts_col].dataType.typeName() if ts_col in df.columns else ""
+    ts = F.col(ts_col).cast("timestamp_ntz") if ts_type in ("timestamp_ntz", "timestamp") else lenient_timestamp(ts_col)
+    res_type = df.schema[result_col].dataType.typeName() if result_col in df.columns else ""
+    val = nan_to_null(F.col(result_col).cast("double")) if res_type in ("double", "float", "integer", "long", "decimal") else lenient_double(result_col)
+    return df.withColumns({value_col: val, ts_col: ts})
 
 
 # ---------------------------------------------------------------------------------------------

@@ -39,6 +39,15 @@ def quantiles(
         ).select(*group_cols, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("q"), "value")
 
     counts = base.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_from_counts(counts, group_cols, "_v", "_c", probs)
+
+
+def quantiles_from_counts(
+    counts: DataFrame, group_cols: Sequence[str], value_col: str, count_col: str, probs: Sequence[float]
+) -> DataFrame:
+    """Same result from an already aggregated (group..., value, count) table (counts > 0, values non-null)."""
+    group_cols = list(group_cols)
+    counts = counts.select(*group_cols, F.col(value_col).cast("double").alias("_v"), F.col(count_col).cast("long").alias("_c"))
     sizes = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
     pre = prefix_sums(counts, group_cols, ["_v"], ["_c"])
     qs = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortflow.functions.pvalues import chi2_sf, normal_two_sided, student_t_two_sided
 from cohortflow.functions.scalar import rdp
 from cohortflow.operators.prefix import prefix_sums
-from cohortflow.operators.quantiles import quantiles_wide
+from cohortflow.operators.quantiles import quantiles_from_counts
 
 
 def _by_class(tall: DataFrame, label_col: str) -> DataFrame:
@@ -28,11 +28,21 @@ def _by_class(tall: DataFrame, label_col: str) -> DataFrame:
 
 
 # STT-1 -------------------------------------------------------------------------------------
-def normality_gate(tall: DataFrame, label_col: str, alpha: float = 0.05, min_n: int = 8) -> DataFrame:
-    """Per feature: n0, n1, JB p per class; ``normal`` when both p > alpha; ``tested`` when both n >= min_n."""
-    per = _by_class(tall, label_col).groupBy("feature", label_col).agg(
-        F.count(F.lit(1)).alias("n"), F.skewness("value").alias("s"), F.kurtosis("value").alias("k")
+def class_moments(tall: DataFrame, label_col: str) -> DataFrame:
+    """One pass: per (feature, class) count, mean, sample sd, population skewness and excess kurtosis."""
+    return _by_class(tall, label_col).groupBy("feature", label_col).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("sd"),
+        F.skewness("value").alias("s"),
+        F.kurtosis("value").alias("k"),
     )
+
+
+def normality_gate(tall: DataFrame, label_col: str, alpha: float = 0.05, min_n: int = 8,
+                   moments: DataFrame | None = None) -> DataFrame:
+    """Per feature: n0, n1, JB p per class; ``normal`` when both p > alpha; ``tested`` when both n >= min_n."""
+    per = moments if moments is not None else class_moments(tall, label_col)
     jb = F.col("n") / F.lit(6.0) * (F.col("s") * F.col("s") + F.col("k") * F.col("k") / F.lit(4.0))
     per = per.withColumn("jb_p", F.exp(-jb / F.lit(2.0)))
     wide = per.groupBy("feature").agg(
@@ -53,14 +63,15 @@ def normality_gate(tall: DataFrame, label_col: str, alpha: float = 0.05, min_n:
 
 
 # STT-2 -------------------------------------------------------------------------------------
-def welch_t(tall: DataFrame, label_col: str) -> DataFrame:
-    per = _by_class(tall, label_col).groupBy("feature").agg(
-        F.count(F.when(F.col(label_col) == 0, F.col("value"))).alias("n0"),
-        F.count(F.when(F.col(label_col) == 1, F.col("value"))).alias("n1"),
-        F.avg(F.when(F.col(label_col) == 0, F.col("value"))).alias("mean0"),
-        F.avg(F.when(F.col(label_col) == 1, F.col("value"))).alias("mean1"),
-        F.stddev_samp(F.when(F.col(label_col) == 0, F.col("value"))).alias("sd0"),
-        F.stddev_samp(F.when(F.col(label_col) == 1, F.col("value"))).alias("sd1"),
+def welch_t(tall: DataFrame, label_col: str, moments: DataFrame | None = None) -> DataFrame:
+    m = moments if moments is not None else class_moments(tall, label_col)
+    per = m.groupBy("feature").agg(
+        F.coalesce(F.max(F.when(F.col(label_col) == 0, F.col("n"))), F.lit(0)).alias("n0"),
+        F.coalesce(F.max(F.when(F.col(label_col) == 1, F.col("n"))), F.lit(0)).alias("n1"),
+        F.max(F.when(F.col(label_col) == 0, F.col("mean"))).alias("mean0"),
+        F.max(F.when(F.col(label_col) == 1, F.col("mean"))).alias("mean1"),
+        F.max(F.when(F.col(label_col) == 0, F.col("sd"))).alias("sd0"),
+        F.max(F.when(F.col(label_col) == 1, F.col("sd"))).alias("sd1"),
     )
     a = F.col("sd0") * F.col("sd0") / F.col("n0")
     b = F.col("sd1") * F.col("sd1") / F.col("n1")
@@ -71,9 +82,9 @@ def welch_t(tall: DataFrame, label_col: str) -> DataFrame:
 
 
 # STT-3 -------------------------------------------------------------------------------------
-def mann_whitney(tall: DataFrame, label_col: str) -> DataFrame:
-    """U of group 0, two-sided asymptotic p with tie and continuity correction (per feature)."""
-    counts = (
+def value_counts(tall: DataFrame, label_col: str) -> DataFrame:
+    """One pass: (feature, value, c0, c1) -- rows per distinct value and class (the rank statistics' input)."""
+    return (
         _by_class(tall, label_col)
         .groupBy("feature", "value")
         .agg(
@@ -81,6 +92,11 @@ def mann_whitney(tall: DataFrame, label_col: str) -> DataFrame:
             F.count_if(F.col(label_col) == 1).cast("bigint").alias("c1"),
         )
     )
+
+
+def mann_whitney(tall: DataFrame, label_col: str, counts: DataFrame | None = None) -> DataFrame:
+    """U of group 0, two-sided asymptotic p with tie and continuity correction (per feature)."""
+    counts = counts if counts is not None else value_counts(tall, label_col)
     pre = prefix_sums(counts, ["feature"], ["value"], ["c1"])
     per = pre.groupBy("feature").agg(
         F.sum(F.col("c0") * (F.col("c1_before") + F.col("c1") / F.lit(2.0))).alias("u0"),
@@ -143,23 +159,25 @@ def hypothesis_tests(
     tall: DataFrame, tall_cat: DataFrame, label_col: str, alpha: float = 0.05, method: str = "exact"
 ) -> DataFrame:
     """Combined table: continuous features -> Welch if normal else Mann-Whitney; categorical -> chi-square."""
-    gate = normality_gate(tall, label_col).filter(F.col("tested"))
-    welch = welch_t(tall, label_col).select("feature", F.col("t_stat").alias("w_stat"), F.col("p_value").alias("w_p"))
-    mwu = mann_whitney(tall, label_col).select("feature", F.col("u0").alias("m_stat"), F.col("p_value").alias("m_p"))
-    base = _by_class(tall, label_col)
-    means = base.groupBy("feature").agg(
-        F.avg(F.when(F.col(label_col) == 0, F.col("value"))).alias("mean_group0"),
-        F.avg(F.when(F.col(label_col) == 1, F.col("value"))).alias("mean_group1"),
-    )
-    med = quantiles_wide(base, ["feature", label_col], "value", {"median": 0.5}, method)
+    moments = class_moments(tall, label_col)
+    counts = value_counts(tall, label_col)
+    gate = normality_gate(tall, label_col, moments=moments).filter(F.col("tested"))
+    welch = welch_t(tall, label_col, moments=moments).select(
+        "feature", F.col("t_stat").alias("w_stat"), F.col("p_value").alias("w_p"), F.col("mean0").alias("mean_group0"),
+        F.col("mean1").alias("mean_group1"),
+    )
+    mwu = mann_whitney(tall, label_col, counts=counts).select("feature", F.col("u0").alias("m_stat"), F.col("p_value").alias("m_p"))
+    per_class = counts.select("feature", "value", F.explode(F.array(
+        F.struct(F.lit(0).alias("cls"), F.col("c0").alias("c")), F.struct(F.lit(1).alias("cls"), F.col("c1").alias("c"))
+    )).alias("_x")).select("feature", "value", F.col("_x.cls").alias(label_col), F.col("_x.c").alias("c")).filter(F.col("c") > 0)
+    med = quantiles_from_counts(per_class, ["feature", label_col], "value", "c", [0.5])
     meds = med.groupBy("feature").agg(
-        F.max(F.when(F.col(label_col) == 0, F.col("median"))).alias("median_group0"),
-        F.max(F.when(F.col(label_col) == 1, F.col("median"))).alias("median_group1"),
+        F.max(F.when(F.col(label_col) == 0, F.col("value"))).alias("median_group0"),
+        F.max(F.when(F.col(label_col) == 1, F.col("value"))).alias("median_group1"),
     )
     cont = (
         gate.join(welch, "feature")
         .join(mwu, "feature")
-        .join(means, "feature")
         .join(meds, "feature")
         .select(
             "feature",

@@ -92,6 +92,7 @@ def test_knn_exact_matches_brute_force(spark):
     rnd = np.random.default_rng(5)
     pts = np.round(rnd.normal(size=(120, 4)), 3)
     pts[10] = pts[11]  # a duplicate: distance 0 tie
+    pts[20:40] = pts[19]  # a hot spot of 21 identical rows (more than k + 1)
     rows = [(i, *map(float, p)) for i, p in enumerate(pts)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
     got = {}
