@@ -51,7 +51,8 @@ def prefix_sums(
     descending: bool = False,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``{c}_before`` (sum over rows strictly earlier in the group's order) and ``{c}_upto`` (inclusive).
+    """Add ``{c}_before`` (sum over rows strictly earlier in the group's order), ``{c}_upto`` (inclusive) and
+    ``{c}_total`` (the whole group).
 
     Rows with equal order keys are summed in an arbitrary but fixed sequence, so collapse ties first.
     Group columns must be non-null.
@@ -61,7 +62,12 @@ def prefix_sums(
     ords: list[Column] = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     if group_cols and largest_group(df, group_cols) <= local_limit(spark):
         w = Window.partitionBy(*group_cols).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
-        out = df.select(*[F.col(c) for c in df.columns], *[F.sum(c).over(w).alias(f"{c}_upto") for c in sum_cols])
+        wall = Window.partitionBy(*group_cols)  # same partitioning: no extra exchange
+        out = df.select(
+            *[F.col(c) for c in df.columns],
+            *[F.sum(c).over(w).alias(f"{c}_upto") for c in sum_cols],
+            *[F.sum(c).over(wall).alias(f"{c}_total") for c in sum_cols],
+        )
         for c in sum_cols:
             out = out.withColumn(f"{c}_before", F.col(f"{c}_upto") - F.col(c))
         return out
@@ -72,14 +78,18 @@ def prefix_sums(
 
     totals = ranged.groupBy(_PID, *group_cols).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    w_grp = Window.partitionBy(*group_cols)
     offsets = totals.select(
-        _PID, *group_cols, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
+        _PID, *group_cols,
+        *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(w_grp).alias(f"{c}_total") for c in sum_cols],
     )
     w_in = Window.partitionBy(_PID, *group_cols).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(offsets, [_PID, *group_cols])
     out = joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_o_{c}") + F.sum(c).over(w_in)).alias(f"{c}_upto") for c in sum_cols],
+        *[F.col(f"{c}_total") for c in sum_cols],
     )
     for c in sum_cols:
         out = out.withColumn(f"{c}_before", F.col(f"{c}_upto") - F.col(c))

@@ -5,8 +5,7 @@ each value's rank range with the distributed prefix sum, and picks the two value
 ``method="approx"`` uses ``percentile_approx`` (bounded sketch, partial aggregation) for very large groups
 where a small rank error is acceptable.
 
-Groups are schema-level keys (panel, feature, class); the per-group row counts table is therefore
-bounded by the number of such keys and is broadcast.
+The group size comes with the running sums (same window / offsets), so no extra aggregate or join.
 """
 
 from __future__ import annotations
@@ -48,13 +47,9 @@ def quantiles_from_counts(
     """Same result from an already aggregated (group..., value, count) table (counts > 0, values non-null)."""
     group_cols = list(group_cols)
     counts = counts.select(*group_cols, F.col(value_col).cast("double").alias("_v"), F.col(count_col).cast("long").alias("_c"))
-    sizes = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
     pre = prefix_sums(counts, group_cols, ["_v"], ["_c"])
     qs = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")
-    sized = F.broadcast(sizes) if group_cols else sizes
-    with_pos = (
-        pre.join(sized, group_cols) if group_cols else pre.crossJoin(F.broadcast(sizes))
-    ).select(*group_cols, "_v", "_c_before", "_c_upto", "_n", qs)
+    with_pos = pre.select(*group_cols, "_v", "_c_before", "_c_upto", F.col("_c_total").alias("_n"), qs)
     h = (F.col("_n") - F.lit(1)).cast("double") * F.col("q")
     lo = F.floor(h)
     hi = F.ceil(h)

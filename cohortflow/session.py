@@ -65,9 +65,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; an input smaller than one split per core (e.g. a single row group) is spread over the
-    cores so the first stage is not one task.  Large inputs already have many splits and are left as is."""
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    """Parquet scan (filters and column pruning reach the reader)."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import rdp
-from cohortflow.session import read_table
+from cohortflow.session import read_table, spread
 
 # ---------------------------------------------------------------------------------------------
 # Fixture A: longitudinal panels from `events`
@@ -61,7 +61,8 @@ def _code_expr(panel: F.Column, k: F.Column) -> F.Column:
 
 def lab_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tall measurement rows: text result, raw birth year text, codes on alternate rows."""
-    return lab_rows_from_events(read_table(spark, sf_dir, "events"))
+    # row-wise text parsing follows the scan: a small single-split input is spread over the cores first
+    return lab_rows_from_events(spread(read_table(spark, sf_dir, "events")))
 
 
 def lab_rows_from_events(ev: DataFrame) -> DataFrame:
