@@ -88,8 +88,7 @@ def crosstab_pct(tall_cat: DataFrame, label_col: str, labels: Sequence[int] = (0
     g = tall_cat.select("feature", F.coalesce(F.col("value").cast("string"), F.lit("NULL")).alias("value"), F.col(label_col))
     counts = g.groupBy("feature", "value", label_col).agg(F.count(F.lit(1)).alias("n"))
     domain = counts.select("feature", "value").distinct()
-    lbls = domain.sparkSession.createDataFrame([(int(x),) for x in labels], [label_col])
-    grid = domain.crossJoin(F.broadcast(lbls))  # label domain is a fixed parameter (two classes)
+    grid = domain.withColumn(label_col, F.explode(F.array(*[F.lit(int(x)) for x in labels])))  # fixed label domain
     dense = grid.join(counts, ["feature", "value", label_col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     col_tot = F.sum("n").over(Window.partitionBy("feature", label_col))
     row_tot = F.sum("n").over(Window.partitionBy("feature", "value"))

@@ -26,9 +26,8 @@ def _ratio(a: Column, b: Column) -> Column:
 def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     p = with_pred(scored, threshold)
     counts = p.groupBy("model", "actual", "pred").agg(F.count(F.lit(1)).alias("n"))
-    models = p.select("model").distinct()
-    cells = p.sparkSession.createDataFrame([(a, b) for a in (0, 1) for b in (0, 1)], "actual int, pred int")
-    grid = models.crossJoin(F.broadcast(cells))  # 4 fixed cells per model
+    cells = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(b).alias("pred")) for a in (0, 1) for b in (0, 1)])
+    grid = p.select("model").distinct().select("model", F.inline(cells))  # the 4 fixed cells of each model
     return grid.join(counts, ["model", "actual", "pred"], "left").select(
         "model", "actual", "pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
@@ -106,8 +105,7 @@ def score_counts(scored: DataFrame) -> DataFrame:
 def _descending_cumulative(scored: DataFrame) -> DataFrame:
     counts = score_counts(scored)
     pre = prefix_sums(counts, ["model"], ["prob"], ["pos", "neg"], descending=True)
-    totals = counts.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return pre.join(F.broadcast(totals), "model")  # one row per model
+    return pre.withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
 
 
 # EVL-4 / WIN-4 ------------------------------------------------------------------------------

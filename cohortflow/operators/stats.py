@@ -129,9 +129,14 @@ def chi_square(tall_cat: DataFrame, label_col: str) -> DataFrame:
 def chi_square_counts(obs: DataFrame, label_col: str = "label") -> DataFrame:
     """Same test from a contingency table (feature, value, label, n) -- e.g. published counts."""
     obs = obs.select("feature", F.col("value").cast("string").alias("value"), label_col, F.col("n").alias("o"))
+    # dense table: each observed (feature, value) row is expanded to the observed classes (<= #classes values,
+    # read once as a literal list), so absent cells count as zeros
+    classes = sorted(r[0] for r in obs.select(label_col).distinct().collect())
+    present = obs.groupBy("feature", label_col).agg(F.lit(True).alias("_seen"))
     values = obs.select("feature", "value").distinct()
-    labels = obs.select("feature", label_col).distinct()
-    grid = values.join(labels, "feature")  # observed categories x observed classes per feature (small)
+    grid = values.withColumn(label_col, F.explode(F.array(*[F.lit(c) for c in classes]))).join(
+        present, ["feature", label_col]
+    ).drop("_seen")
     dense = grid.join(obs, ["feature", "value", label_col], "left").withColumn("o", F.coalesce("o", F.lit(0)).cast("double"))
     w_row = Window.partitionBy("feature", "value")
     w_col = Window.partitionBy("feature", label_col)
