@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.operators import cohort as C
 from cohortflow.plans.common import round_doubles
-from cohortflow.session import materialized
+from cohortflow.session import materialized, scratch_path
 from cohortflow.sources import fixtures as FX
 
 RULES = FX.FIXTURE_RULES
@@ -33,7 +35,16 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_panel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheets = FX.lab_panel_sheets(spark, sf_dir)
+    """SRC-1..3 / SET-1: each panel is stored as its own parquet source (headers spelled differently), one
+    listed source does not exist; the readable ones are harmonised and unioned by name."""
+    base = scratch_path(spark, "panels")
+    paths = {}
+    for name, sheet in FX.lab_panel_sheets(spark, sf_dir).items():
+        path = os.path.join(base, name)
+        sheet.write.mode("overwrite").parquet(path)
+        paths[name] = path
+    paths["absent_panel"] = os.path.join(base, "absent_panel")  # unreadable: skipped, the rest continue
+    sheets = C.read_panels(spark, paths)
     return C.union_panels(sheets, FX.HEADER_SYNONYMS)
 
 

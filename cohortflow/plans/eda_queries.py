@@ -99,7 +99,9 @@ def visit_table(spark, sf_dir):
 
 
 def q_visit_wide(spark, sf_dir):
-    return round_doubles(visit_table(spark, sf_dir))
+    """SRT-1: visits ordered by (name, admission, visit day), NULLs last (a range-partitioned sort)."""
+    order = [F.col(c).asc_nulls_last() for c in ["patient_name", "admission_no", "visit_date"]]
+    return round_doubles(visit_table(spark, sf_dir)).orderBy(*order)
 
 
 def q_visit_codes(spark, sf_dir):

@@ -6,6 +6,7 @@ from cohortflow.operators import evaluate as EV
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import b_table
 from cohortflow.sources import fixtures as FX
+from cohortflow.sources.sinks import roundtrip_json
 
 MIN_PRECISION = 0.3
 MIN_RECALL = 0.5
@@ -60,7 +61,8 @@ def q_case_select(spark, sf_dir):
 
 
 def q_champion(spark, sf_dir):
-    return round_doubles(EV.model_comparison(scored(spark, sf_dir)))
+    """EVL-9 / SRT-8; the comparison (with the champion flag) is persisted as JSON (SNK-3) and read back."""
+    return roundtrip_json(round_doubles(EV.model_comparison(scored(spark, sf_dir))), "champion")
 
 
 QUERIES = {

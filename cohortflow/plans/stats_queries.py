@@ -8,6 +8,7 @@ from cohortflow.operators import eda, stats
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import CORR_COLS, b_table, b_tall, b_tall_cat
 from cohortflow.sources import fixtures as FX
+from cohortflow.sources.sinks import roundtrip_json
 
 CANDIDATES = FX.B_CONTINUOUS + ["flag_urgent", "segment", "zero_var"]
 
@@ -45,7 +46,8 @@ def _zero_var(spark, sf_dir):
 
 
 def q_feature_select(spark, sf_dir):
-    return stats.feature_select(results_table(spark, sf_dir), _zero_var(spark, sf_dir), CANDIDATES)
+    """TRN-1 with the selection persisted as JSON (SNK-3) and read back."""
+    return roundtrip_json(stats.feature_select(results_table(spark, sf_dir), _zero_var(spark, sf_dir), CANDIDATES), "selection")
 
 
 def q_eda_summary(spark, sf_dir):

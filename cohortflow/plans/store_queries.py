@@ -115,7 +115,7 @@ def q_visit_history(spark, sf_dir):
     probs = scored.select("visit_id", F.col("prediction_prob").alias("_p"))
     new_v = nw_v.join(probs, "visit_id", "left").withColumn("prediction_prob", F.col("_p")).drop("_p")
     p, v = S.upsert(ex_p, ex_v, nw_p, new_v, STORE_FLAGS, BATCH_AT)
-    return round_doubles(S.visit_history(p, v))
+    return round_doubles(S.visit_history(p, v)).orderBy("patient_code", "visit_rank")
 
 
 def q_expanding_features(spark, sf_dir):
