@@ -70,8 +70,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition over the cores only when a frame has fewer partitions than cores (small inputs, or small
-    results that adaptive execution merged into one partition).  Large frames are returned unchanged."""
+    """Repartition a *scan* over the cores only when it has fewer splits than cores (e.g. one row group).
+    Large inputs are returned unchanged.  Use on plain scans: asking a multi-stage adaptive plan for its
+    partition count would run its shuffle stages."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
@@ -96,5 +97,5 @@ def materialized(spark: SparkSession, key: str, build) -> DataFrame:
     lost with an executor are recomputed from lineage, so reuse never changes results."""
     k = (spark.sparkContext.applicationId, key)
     if k not in _MATERIALIZED:
-        _MATERIALIZED[k] = spread(build()).persist(StorageLevel.MEMORY_AND_DISK)
+        _MATERIALIZED[k] = build().persist(StorageLevel.MEMORY_AND_DISK)
     return _MATERIALIZED[k]
