@@ -201,7 +201,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def high_correlation(pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
     hi = pairs.filter(F.abs("r") > F.lit(threshold)).withColumn("abs_r", F.abs("r"))
     w = Window.orderBy(F.col("abs_r").desc(), "feature_a", "feature_b")  # <= #feature pairs rows
-    return hi.withColumn("rank", F.row_number().over(w))
+    return hi.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 # AGG-19 -------------------------------------------------------------------------------------

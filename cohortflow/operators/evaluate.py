@@ -214,7 +214,7 @@ def risk_topk(scored: DataFrame, k: int = 10, high: float = 0.5, low: float = 0.
     prio = F.when(F.col("tag").isin("TP", "TN"), F.lit(0)).otherwise(F.lit(1))
     key = F.when(F.col("list") == "high", -p).otherwise(p)
     w = Window.partitionBy("model", "list").orderBy(prio, key, F.col("row_id"))
-    return tagged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return tagged.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 # SRT-5 --------------------------------------------------------------------------------------
@@ -240,7 +240,7 @@ def case_select(scored: DataFrame) -> DataFrame:
 def model_comparison(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     m = binary_metrics(scored, threshold).join(roc_auc(scored), "model")
     w = Window.orderBy(F.col("f1").desc(), F.col("auc").desc(), F.col("recall").desc(), F.col("model"))  # <= #models rows
-    ranked = m.withColumn("rank", F.row_number().over(w))
+    ranked = m.withColumn("rank", F.row_number().over(w).cast("bigint"))
     return ranked.select(
         "model", "accuracy", "precision", "recall", "f1", "auc", "brier", "rank", (F.col("rank") == 1).alias("is_champion")
     )

@@ -54,7 +54,7 @@ def linear_scores(attr: DataFrame, id_col: str, intercept: float, label_col: str
 def global_importance(attr: DataFrame, top: int = 2) -> DataFrame:
     g = attr.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     w = Window.orderBy(F.col("mean_abs").desc(), "feature")  # <= #features rows
-    return g.withColumn("rank", F.row_number().over(w)).withColumn("is_top", F.col("rank") <= top)
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("is_top", F.col("rank") <= top)
 
 
 # EXP-4 --------------------------------------------------------------------------------------
@@ -92,7 +92,7 @@ def waterfall(attr: DataFrame, cases: DataFrame, id_col: str = "row_id") -> Data
     w = Window.partitionBy("case", id_col).orderBy(F.abs("contribution").desc(), "feature")
     return sel.select(
         "case", id_col, "feature", "value", "contribution",
-        F.row_number().over(w).alias("step"),
+        F.row_number().over(w).cast("bigint").alias("step"),
         F.sum("contribution").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"),
     )
 
@@ -128,7 +128,7 @@ def reasons(attr: DataFrame, rows: DataFrame, binary_labels: Mapping[str, tuple[
     key = F.when(F.col("direction") == "raises", -F.col("contribution")).otherwise(F.col("contribution"))
     w = Window.partitionBy(id_col, "direction").orderBy(key, "feature")
     return sel.select(
-        "list", id_col, "direction", F.row_number().over(w).alias("rank"), "feature", "contribution",
+        "list", id_col, "direction", F.row_number().over(w).cast("bigint").alias("rank"), "feature", "contribution",
         describe_value(F.col("feature"), F.col("value"), F.col("z"), binary_labels).alias("description"),
     )
 
@@ -144,7 +144,7 @@ def group_attribution(attr: DataFrame, rows: DataFrame, cut: float = 0.02, id_co
     )
     key = F.when(F.col("list") == "high", -F.col("mean_contribution")).otherwise(F.col("mean_contribution"))
     w = Window.partitionBy("list").orderBy(key, "feature")  # <= #features rows per list
-    return g.filter(keep).withColumn("rank", F.row_number().over(w))
+    return g.filter(keep).withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 # SCL-10 -------------------------------------------------------------------------------------
@@ -214,5 +214,5 @@ def ranked_commentary(
     w = Window.partitionBy(id_col).orderBy(F.abs("contribution").desc(), "grp")
     return j.select(
         id_col, "grp", "feature", "contribution", F.col("value").alias("display_value"), "severity", "label",
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("bigint").alias("rank"),
     ).filter(F.col("rank") <= top)

@@ -230,7 +230,7 @@ def display_name(c: F.Column) -> F.Column:
 def top_features(results: DataFrame, k: int = 10) -> DataFrame:
     sig = results.filter(F.col("significant"))
     w = Window.orderBy(F.col("p_value").asc(), F.col("feature").asc())  # top-k report over <= #features rows
-    return sig.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+    return sig.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select(
         "rank", "feature", display_name(F.col("feature")).alias("display_name"), "test", "statistic", "p_value"
     )
 

@@ -76,9 +76,9 @@ ORACLE = {
     "class_report": with_scored(**METRICS, per=_class_rows())
     + rounded_sql(
         """SELECT * FROM per
-           UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per GROUP BY model
+           UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per GROUP BY model
            UNION ALL SELECT model, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                            sum(f1 * support) / sum(support), sum(support) FROM per GROUP BY model
+                            sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per GROUP BY model
            UNION ALL SELECT model, 'accuracy', NULL::double, NULL::double, accuracy, n FROM bm""",
         ["precision", "recall", "f1"],
     ),

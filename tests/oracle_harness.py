@@ -59,17 +59,29 @@ def canon_rows(cols, rows):
     return [cols[i] for i in order], sorted(out, key=lambda t: tuple("" if x is None else x for x in t))
 
 
+_SPARK_TO_DUCK = {
+    "LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+    "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP", "DateType()": "DATE",
+}
+
+
 def compare(spark, name: str, query, sql: str, sf_dir: str, con=None) -> dict:
     df = query(spark, sf_dir)
     s_cols = df.columns
+    s_types = {f.name: _SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
     s_rows = [tuple(r) for r in df.collect()]
     con = con or duck(sf_dir)
+    rel = con.sql(sql)
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     sc, sr = canon_rows(s_cols, s_rows)
     dc, dr = canon_rows(d_cols, d_rows)
-    out = {"name": name, "spark_rows": len(sr), "oracle_rows": len(dr), "cols_match": sc == dc}
+    out = {"name": name, "spark_rows": len(sr), "oracle_rows": len(dr), "cols_match": sc == dc,
+           "types_match": s_types == d_types}
+    if not out["types_match"]:
+        out["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types) if s_types.get(c) != d_types.get(c)}
     out["values_match"] = out["cols_match"] and sr == dr
     if not out["values_match"]:
         out["spark_cols"] = sc

@@ -21,6 +21,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, name, QUERIES[name], ORACLES[name], SMALL, con)
     assert r["cols_match"], r
+    assert r["types_match"], r
     assert r["values_match"], r
 
 
