@@ -27,7 +27,7 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_col: str, rank_c
     """1-based rank by a unique order key within each group (distributed running count)."""
     base = df.withColumn("_one", F.lit(1).cast("bigint"))
     ranked = prefix_sums(base, group_cols, [order_col], ["_one"])
-    return ranked.withColumnRenamed("_one_upto", rank_col).drop("_one", "_one_before")
+    return ranked.withColumnRenamed("_one_upto", rank_col).drop("_one", "_one_before", "_one_total")
 
 
 def stratified_split(
