@@ -172,3 +172,23 @@ def test_upsert_is_idempotent(spark):
     p2, v2 = S.upsert(p1.drop("status"), v1, nw_p, nw_v, STORE_FLAGS, BATCH_AT)
     assert p1.count() == p2.count() and v1.count() == v2.count()
     assert p2.filter(F.col("status") == "inserted").count() == 0
+
+
+def test_vectorised_treeshap_equals_recursive(spark):
+    from cohortflow.operators import treeshap as TS
+    from cohortflow.operators.train import assemble, boosted_trees
+
+    rnd = np.random.default_rng(11)
+    rows = [(i, int(rnd.random() < 0.3), *map(float, rnd.normal(size=3))) for i in range(300)]
+    df = assemble(spark.createDataFrame(rows, "row_id long, label int, a double, b double, c double"), ["a", "b", "c"])
+    model = boosted_trees(max_iter=5, max_depth=3).fit(df)
+    ens = TS.extract_ensemble(model)
+    tables = [lt for t in ens for lt in TS.leaf_tables(t)]
+    xs = np.array([r[2:] for r in rows[:40]])
+    phi_v, score_v = TS.shap_batch(tables, xs, 3)
+    for r in range(len(xs)):
+        phi = np.zeros(3)
+        for t in ens:
+            TS.tree_shap(t, xs[r], phi)
+        assert np.allclose(phi, phi_v[r], atol=1e-10)
+        assert score_v[r] == pytest.approx(sum(t.weight * t.predict(xs[r]) for t in ens))
