@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import clip_keep_null, hash_order, rdp
@@ -208,4 +208,3 @@ def round_features(df: DataFrame, cols: Sequence[str], digits: int = 9) -> DataF
     return df.withColumns({c: rdp(F.col(c), digits) for c in cols})
 
 
-__all__ = ["Column"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortflow.operators import cohort as C
 from cohortflow.plans.common import round_doubles
@@ -93,4 +92,3 @@ QUERIES = {
     "code_flags": q_code_flags,
 }
 
-__all__ = ["QUERIES", "cohort", "entity_features", "F"]

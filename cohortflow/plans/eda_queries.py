@@ -150,4 +150,3 @@ QUERIES = {
     "feature_matrix": q_feature_matrix,
 }
 
-__all__ = ["QUERIES", "F"]

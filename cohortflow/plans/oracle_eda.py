@@ -5,7 +5,7 @@ from __future__ import annotations
 from cohortflow.functions.pvalues import r6_sql, rdp_sql
 from cohortflow.plans import eda_queries as EQ
 from cohortflow.plans.common import rounded_sql
-from cohortflow.plans.oracle_cohort import FEATURES, KEYS, RULE_TEXT, TARGET_SQL, _q, flag_cols_sql, with_lab
+from cohortflow.plans.oracle_cohort import KEYS, RULE_TEXT, TARGET_SQL, _q, flag_cols_sql, with_lab
 from cohortflow.functions.scalar import any_code_pattern
 from cohortflow.sources import fixtures as FX
 
@@ -267,4 +267,3 @@ ORACLE = {
     "feature_matrix": MATRIX,
 }
 
-__all__ = ["ORACLE", "FEATURES"]

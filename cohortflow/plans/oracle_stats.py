@@ -3,8 +3,7 @@ kurtosis are bias-corrected, Spark's are population moments)."""
 
 from __future__ import annotations
 
-from cohortflow.functions.pvalues import chi2_sf_sql, normal_two_sided_sql, r6_sql, rdp_sql, student_t_two_sided_sql
-from cohortflow.plans.eda_queries import CORR_COLS
+from cohortflow.functions.pvalues import chi2_sf_sql, normal_two_sided_sql, rdp_sql, student_t_two_sided_sql
 from cohortflow.plans.oracle_eda import B_TALL, B_TALL_CAT, _corr_sql
 from cohortflow.plans.common import rounded_sql
 from cohortflow.plans.stats_queries import CANDIDATES
@@ -131,4 +130,3 @@ ORACLE = {
     ),
 }
 
-__all__ = ["ORACLE", "CORR_COLS", "r6_sql"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortflow.operators import eda, stats
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import CORR_COLS, b_table, b_tall, b_tall_cat
@@ -66,4 +64,3 @@ QUERIES = {
     "eda_summary": q_eda_summary,
 }
 
-__all__ = ["QUERIES", "F"]
