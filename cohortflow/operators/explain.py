@@ -20,17 +20,21 @@ from cohortflow.operators.eda import _guarded_corr
 def linear_attributions(df: DataFrame, id_col: str, weights: Mapping[str, float], label_col: str | None = None) -> DataFrame:
     """contribution = w * (x - mean) / sd_pop for each weighted feature (background = ``df`` itself).
 
-    Mean and sd are one aggregate row (crossJoin with a single row is a broadcast)."""
+    Mean and sd come from one aggregate (2 numbers per feature) and are applied as literals."""
     feats = list(weights)
-    st = df.agg(*[F.avg(f).alias(f"m_{f}") for f in feats], *[F.stddev_pop(f).alias(f"s_{f}") for f in feats])
+    st = df.agg(*[F.avg(f).alias(f"m_{f}") for f in feats], *[F.stddev_pop(f).alias(f"s_{f}") for f in feats]).first()
     keep = [id_col] + ([label_col] if label_col else [])
-    j = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats]).crossJoin(F.broadcast(st))
+    j = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats])
+
+    def lit(v):
+        return F.lit(v).cast("double")
+
     cells = F.array(
         *[
             F.struct(
                 F.lit(f).alias("feature"),
                 F.col(f).alias("value"),
-                F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}")).alias("z"),
+                F.try_divide(F.col(f) - lit(st[f"m_{f}"]), lit(st[f"s_{f}"])).alias("z"),
                 F.lit(float(w)).alias("w"),
             )
             for f, w in weights.items()

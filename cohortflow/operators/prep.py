@@ -184,13 +184,14 @@ def train_categories(train: DataFrame, col: str) -> list[str]:
 # PREP-12 ------------------------------------------------------------------------------------
 def class_weights(train: DataFrame, label_col: str) -> DataFrame:
     counts = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col(label_col) == 0, F.col("n"))).alias("n_neg"),
-        F.sum(F.when(F.col(label_col) == 1, F.col("n"))).alias("n_pos"),
-        F.count(F.lit(1)).alias("k"),
+    w = Window.partitionBy()  # over the <= #classes count rows
+    j = counts.select(
+        "*",
+        F.sum("n").over(w).alias("total"),
+        F.sum(F.when(F.col(label_col) == 0, F.col("n"))).over(w).alias("n_neg"),
+        F.sum(F.when(F.col(label_col) == 1, F.col("n"))).over(w).alias("n_pos"),
+        F.count(F.lit(1)).over(w).alias("k"),
     )
-    j = counts.crossJoin(tot)  # one-row side
     return j.select(
         label_col,
         "n",

@@ -254,11 +254,17 @@ def feature_select(results: DataFrame, zero_var: DataFrame, candidates: Sequence
 
 # AGG-23 -------------------------------------------------------------------------------------
 def run_summary(results: DataFrame, high_pairs: DataFrame, zero_var: DataFrame) -> DataFrame:
-    r = results.agg(
-        F.count(F.lit(1)).alias("n_tested"), F.count_if(F.col("significant")).cast("bigint").alias("n_significant")
+    tagged = (
+        results.select(F.lit("test").alias("_t"), F.col("significant").alias("_f"))
+        .unionByName(high_pairs.select(F.lit("pair").alias("_t"), F.lit(True).alias("_f")))
+        .unionByName(zero_var.select(F.lit("zero").alias("_t"), F.col("zero_variance").alias("_f")))
     )
-    h = high_pairs.agg(F.count(F.lit(1)).alias("n_high_corr_pairs"))
-    z = zero_var.agg(F.count_if(F.col("zero_variance")).cast("bigint").alias("n_zero_variance"))
-    return r.crossJoin(h).crossJoin(z).withColumn(
+    out = tagged.agg(
+        F.count_if(F.col("_t") == "test").cast("bigint").alias("n_tested"),
+        F.count_if((F.col("_t") == "test") & F.col("_f")).cast("bigint").alias("n_significant"),
+        F.count_if(F.col("_t") == "pair").cast("bigint").alias("n_high_corr_pairs"),
+        F.count_if((F.col("_t") == "zero") & F.col("_f")).cast("bigint").alias("n_zero_variance"),
+    )
+    return out.withColumn(
         "share_significant", F.try_divide(F.col("n_significant").cast("double"), F.col("n_tested").cast("double"))
     )
