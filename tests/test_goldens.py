@@ -79,3 +79,21 @@ def test_confusion_grid_is_dense(spark):
     s = spark.createDataFrame([("m", 1, 0.9, 1), ("m", 2, 0.8, 1)], "model string, row_id long, prob double, actual int")
     cells = {(r["actual"], r["pred"]): r["n"] for r in EV.confusion(s).collect()}
     assert cells == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
+
+
+def test_student_t_tail_matches_closed_forms(spark):
+    import math
+
+    import duckdb
+
+    from cohortflow.functions.pvalues import student_t_two_sided, student_t_two_sided_sql
+
+    # df = 1 (Cauchy) and df = 2 have closed forms; df = 10 is the tabulated 0.0733880348
+    cases = [(1.0, 1.0, 0.5), (2.0, 2.0, 1 - 2 / math.sqrt(6)), (2.0, 10.0, 0.0733880348), (0.0, 5.0, 1.0)]
+    df = spark.createDataFrame([(t, d) for t, d, _ in cases], "t double, df double")
+    got = [r[0] for r in df.select(student_t_two_sided(F.col("t"), F.col("df"))).collect()]
+    con = duckdb.connect()
+    for (t, d, want), g in zip(cases, got):
+        assert g == pytest.approx(want, abs=1e-10)
+        s = con.execute(f"SELECT {student_t_two_sided_sql(f'{t}::double', f'{d}::double')}").fetchone()[0]
+        assert s == pytest.approx(g, abs=1e-13)
