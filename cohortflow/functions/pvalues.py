@@ -8,8 +8,8 @@ oracle computes identical arithmetic.  No SciPy is needed on executors or driver
   fixed-length continued fraction (modified Lentz, 200 steps, folded with ``aggregate`` / ``list_reduce``)
   and a Lanczos log-gamma -- exact to ~1e-14 for fractional df up to 1e4; above that, Hill's normalising
   expansion (ACM Algorithm 395) with the normal tail.
-* Chi-square survival: exact for 1 degree of freedom (erfc), Wilson-Hilferty cube-root normal
-  approximation for more.
+* Chi-square survival: the regularised upper incomplete gamma Q(dof/2, x/2) by series / continued fraction
+  (same fold technique) up to 1000 degrees of freedom; Wilson-Hilferty above.
 """
 
 from __future__ import annotations
@@ -197,24 +197,82 @@ def _hill_sql(t: str, df: str) -> str:
     return f"(CASE WHEN ({t}) IS NULL OR ({df}) IS NULL OR ({df}) <= 0 THEN NULL ELSE {normal_two_sided_sql(z)} END)"
 
 
-def chi2_sf(x: Column, dof: Column) -> Column:
-    """Upper tail of chi-square: exact for dof = 1, Wilson-Hilferty otherwise."""
-    exact1 = erfc(F.sqrt(x / F.lit(2.0)))
+_CHI2_EXACT_DOF_MAX = 1000
+
+
+def _gamma_q(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma Q(a, x): series below a + 1, continued fraction above."""
+    front = F.exp(-x + a * F.log(x) - _lgamma(a))
+    ser0 = F.struct(a.alias("ap"), (F.lit(1.0) / a).alias("dl"), (F.lit(1.0) / a).alias("sm"))
+
+    def ser_step(acc, _n):
+        ap = acc["ap"] + F.lit(1.0)
+        dl = acc["dl"] * x / ap
+        return F.struct(ap.alias("ap"), dl.alias("dl"), (acc["sm"] + dl).alias("sm"))
+
+    p_series = F.aggregate(F.sequence(F.lit(1), F.lit(_CF_STEPS)), ser0, ser_step)["sm"] * front
+    b0 = x + F.lit(1.0) - a
+    cf0 = F.struct(b0.alias("b"), F.lit(1.0 / _FPMIN).alias("c"), (F.lit(1.0) / _guard(b0)).alias("d"),
+                   (F.lit(1.0) / _guard(b0)).alias("h"))
+
+    def cf_step(acc, i):
+        i = i.cast("double")
+        an = -i * (i - a)
+        b = acc["b"] + F.lit(2.0)
+        d = F.lit(1.0) / _guard(an * acc["d"] + b)
+        c = _guard(b + an / acc["c"])
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+
+    q_cf = F.aggregate(F.sequence(F.lit(1), F.lit(_CF_STEPS)), cf0, cf_step)["h"] * front
+    return F.when(x < a + F.lit(1.0), F.lit(1.0) - p_series).otherwise(q_cf)
+
+
+def _gamma_q_sql(a: str, x: str) -> str:
+    front = f"exp(-({x}) + ({a}) * ln({x}) - {_lgamma_sql(a)})"
+    ser_body = (
+        "{'ap': acc.ap + 1.0::double, 'dl': acc.dl * (" + x + ") / (acc.ap + 1.0::double), "
+        "'sm': acc.sm + acc.dl * (" + x + ") / (acc.ap + 1.0::double)}"
+    )
+    ser_init = f"{{'ap': ({a})::double, 'dl': 1.0::double / ({a}), 'sm': 1.0::double / ({a})}}"
+    p_series = f"((list_reduce(range(1, {_CF_STEPS + 1}), lambda acc, n: {ser_body}, {ser_init})).sm * {front})"
+    b0 = f"(({x}) + 1.0::double - ({a}))"
+    i = "CAST(i AS DOUBLE)"
+    an = f"(-{i} * ({i} - ({a})))"
+    b = "(acc.b + 2.0::double)"
+    d = f"(1.0::double / {_guard_sql(f'({an} * acc.d + {b})')})"
+    c = _guard_sql(f"({b} + {an} / acc.c)")
+    cf_body = f"{{'b': {b}, 'c': {c}, 'd': {d}, 'h': (acc.h * {d} * {c})}}"
+    cf_init = (
+        f"{{'b': {b0}, 'c': {1.0 / _FPMIN!r}::double, 'd': 1.0::double / {_guard_sql(b0)}, "
+        f"'h': 1.0::double / {_guard_sql(b0)}}}"
+    )
+    q_cf = f"((list_reduce(range(1, {_CF_STEPS + 1}), lambda acc, i: {cf_body}, {cf_init})).h * {front})"
+    return f"(CASE WHEN ({x}) < ({a}) + 1.0::double THEN 1.0::double - {p_series} ELSE {q_cf} END)"
+
+
+def _wilson_hilferty(x: Column, dof: Column) -> Column:
     k = dof.cast("double")
     z = (F.pow(x / k, F.lit(1.0 / 3.0)) - (F.lit(1.0) - F.lit(2.0) / (F.lit(9.0) * k))) / F.sqrt(
         F.lit(2.0) / (F.lit(9.0) * k)
     )
-    wh = F.lit(0.5) * erfc(z / F.lit(_SQRT2))
+    return F.lit(0.5) * erfc(z / F.lit(_SQRT2))
+
+
+def chi2_sf(x: Column, dof: Column) -> Column:
+    """Upper tail of chi-square: Q(dof/2, x/2) exactly up to 1000 degrees of freedom, Wilson-Hilferty above."""
+    k = dof.cast("double")
+    exact = _gamma_q(k / F.lit(2.0), x / F.lit(2.0))
     return (
         F.when(x.isNull() | dof.isNull() | (dof < 1), None)
-        .when(dof == 1, F.least(exact1, F.lit(1.0)))
-        .otherwise(F.least(wh, F.lit(1.0)))
+        .when(x <= 0, F.lit(1.0))
+        .when(dof <= _CHI2_EXACT_DOF_MAX, F.least(F.greatest(exact, F.lit(0.0)), F.lit(1.0)))
+        .otherwise(F.least(_wilson_hilferty(x, dof), F.lit(1.0)))
     )
 
 
 def chi2_sf_sql(x: str, dof: str) -> str:
-    exact1 = erfc_sql(f"sqrt(({x}) / 2.0::double)")
     k = f"(({dof})::double)"
+    exact = _gamma_q_sql(f"({k} / 2.0::double)", f"(({x}) / 2.0::double)")
     z = (
         f"((pow(({x}) / {k}, {1.0 / 3.0!r}::double) - (1.0::double - 2.0::double / (9.0::double * {k})))"
         f" / sqrt(2.0::double / (9.0::double * {k})))"
@@ -222,7 +280,9 @@ def chi2_sf_sql(x: str, dof: str) -> str:
     wh = f"(0.5::double * {erfc_sql(f'{z} / {_SQRT2!r}::double')})"
     return (
         f"(CASE WHEN ({x}) IS NULL OR ({dof}) IS NULL OR ({dof}) < 1 THEN NULL "
-        f"WHEN ({dof}) = 1 THEN least({exact1}, 1.0::double) ELSE least({wh}, 1.0::double) END)"
+        f"WHEN ({x}) <= 0 THEN 1.0::double "
+        f"WHEN ({dof}) <= {_CHI2_EXACT_DOF_MAX} THEN least(greatest({exact}, 0.0::double), 1.0::double) "
+        f"ELSE least({wh}, 1.0::double) END)"
     )
 
 

@@ -97,3 +97,16 @@ def test_student_t_tail_matches_closed_forms(spark):
         assert g == pytest.approx(want, abs=1e-10)
         s = con.execute(f"SELECT {student_t_two_sided_sql(f'{t}::double', f'{d}::double')}").fetchone()[0]
         assert s == pytest.approx(g, abs=1e-13)
+
+
+def test_chi_square_tail_matches_closed_forms(spark):
+    import math
+
+    from cohortflow.functions.pvalues import chi2_sf
+
+    # dof 1: erfc(sqrt(x/2)); dof 2: exp(-x/2); dof 4: exp(-x/2) (1 + x/2)
+    cases = [(19.2361, 1, math.erfc(math.sqrt(19.2361 / 2))), (3.0, 2, math.exp(-1.5)), (7.5, 4, math.exp(-3.75) * 4.75)]
+    df = spark.createDataFrame([(x, k) for x, k, _ in cases], "x double, dof int")
+    got = [r[0] for r in df.select(chi2_sf(F.col("x"), F.col("dof"))).collect()]
+    for (_, _, want), g in zip(cases, got):
+        assert g == pytest.approx(want, rel=1e-12)
