@@ -3,7 +3,8 @@
 Each formula is also available as DuckDB SQL text (``*_sql``) built from the same constants, so the
 oracle computes identical arithmetic.  No SciPy is needed on executors or driver.
 
-* erfc: Abramowitz & Stegun 7.1.26 rational approximation (absolute error <= 1.5e-7).
+* Normal two-sided tail: Q(1/2, z^2/2) with the incomplete gamma below (exact); the A&S 7.1.26 erfc
+  (absolute error <= 1.5e-7) remains only inside the far-tail branches for very large df.
 * Student t two-sided tail: the regularised incomplete beta I_{df/(df+t^2)}(df/2, 1/2), computed with a
   fixed-length continued fraction (modified Lentz, 200 steps, folded with ``aggregate`` / ``list_reduce``)
   and a Lanczos log-gamma -- exact to ~1e-14 for fractional df up to 1e4; above that, Hill's normalising
@@ -47,12 +48,17 @@ def erfc_sql(x: str) -> str:
 
 
 def normal_two_sided(z: Column) -> Column:
-    """P(|Z| >= |z|), capped at 1."""
-    return F.least(erfc(F.abs(z) / F.lit(_SQRT2)), F.lit(1.0))
+    """P(|Z| >= |z|) = erfc(|z|/sqrt 2) = Q(1/2, z^2/2), exact (incomplete gamma), capped at 1."""
+    q = _gamma_q(F.lit(0.5), z * z / F.lit(2.0))
+    return F.when(z.isNull(), None).when(z * z == 0, F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
 def normal_two_sided_sql(z: str) -> str:
-    return f"least({erfc_sql(f'abs({z}) / {_SQRT2!r}::double')}, 1.0::double)"
+    q = _gamma_q_sql("0.5::double", f"(({z}) * ({z}) / 2.0::double)")
+    return (
+        f"(CASE WHEN ({z}) IS NULL THEN NULL WHEN ({z}) * ({z}) = 0 THEN 1.0::double "
+        f"ELSE least(greatest({q}, 0.0::double), 1.0::double) END)"
+    )
 
 
 def _hill_z(t2: Column, df: Column) -> Column:
