@@ -1,7 +1,7 @@
 """Session helpers: building a session for local runs and locating the shared scratch folder.
 
-On a cluster the session is created by the caller; only `spark.checkpoint.dir` is read from it.  A
-temporary checkpoint folder is created only when that setting is absent (local tests and benches).
+On a cluster the session is created by the caller; `spark.checkpoint.dir` is read from it and must be set.
+A temporary checkpoint folder is created only for a `local` master without that setting (tests and benches).
 """
 
 from __future__ import annotations
@@ -38,14 +38,16 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when the session names none."""
+    """Return the shared checkpoint folder.  Only a session with a `local` master that names none gets a private
+    temporary one; elsewhere the setting is required, because executors would not see a folder of the driver."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
-        # Only reached when nothing is configured (local tests): a private folder per process.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, configured)
     sc.setCheckpointDir(configured)
