@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import chat, fingerprint, mixing, packing, quality, secret_scan, sharding, warc
+from cohortflow.llm import chat, fingerprint, jaccard_join, mixing, packing, quality, secret_scan, sharding, warc
 from cohortflow.llm.common import table
 
 _MIX_WEIGHTS = (3.0, 1.0, 2.0)
@@ -31,6 +31,11 @@ def op2_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op3_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are 90 % similar or more."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n_words=3, percent=90)
+
+
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards of near equal bytes."""
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 40)
@@ -75,7 +80,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", *quality.STATS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quartile_digest, op4_kd_sharding, op5_sum_of_squares_packing,
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quartile_digest, op3_token_group_join, op4_kd_sharding, op5_sum_of_squares_packing,
                                    op6_warc_archive, op8_secret_ownership, op9_entropy_mix, op10_decision_list)}
 
 _ESC = r"replace(replace(replace({}, '\', '\b'), '<', '\l'), '#', '\h')"
