@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import chat, fingerprint, jaccard_join, mixing, packing, quality, secret_scan, sharding, warc
+from cohortflow.llm import chat, fingerprint, jaccard_join, mixing, packing, quality, secret_scan, sharding, suffix_dedup, warc
 from cohortflow.llm.common import table
 
 _MIX_WEIGHTS = (3.0, 1.0, 2.0)
@@ -59,6 +59,11 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(listed, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents covered by 50-byte strings of smaller documents."""
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans, and all spans, of every document; with the live ones."""
     s = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quartile_digest, op3_token_group_join, op4_kd_sharding, op5_sum_of_squares_packing,
-                                   op6_warc_archive, op8_secret_ownership, op9_entropy_mix, op10_decision_list)}
+                                   op6_warc_archive, op7_deep_shallow_dedup, op8_secret_ownership, op9_entropy_mix, op10_decision_list)}
 
 _ESC = r"replace(replace(replace({}, '\', '\b'), '<', '\l'), '#', '\h')"
 
