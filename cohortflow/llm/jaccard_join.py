@@ -274,3 +274,13 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     out = rows.join(of_set, ["hi", "lo"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.cast(kind).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows to keep: of each component the row with the smallest id, once; rows without an id stay."""
+    part = jaccard_components(docs, n_words, percent, id_col, text_col)
+    stay = part.filter("component_id = doc_id").select(F.col("doc_id").alias("k_id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("d_id"), F.xxhash64(F.col(text_col)).alias("d_hash"))
+    rows = rows.join(stay, F.col("d_id") == F.col("k_id"), "left").filter("k_id is not null or d_id is null")
+    again = F.row_number().over(Window.partitionBy("d_id", "d_hash").orderBy(F.lit(1)))
+    return rows.withColumn("again", again).filter("again = 1 or d_id is null").select("row.*")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import WORD, stored
+from cohortflow.llm.common import WORD, keyed, stored
 
 UNIT_BITS = 30
 UNIT = 1 << UNIT_BITS
@@ -130,3 +130,12 @@ def _with_docs(sizes: DataFrame, weights, share: float, cap: float) -> DataFrame
     t = source_targets(sizes.select("source", "source_size"), weights, share, cap)
     n = sizes.select(F.col("source").alias("_s"), "n_docs")
     return t.join(n, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row of `docs` as often as `mixed` says; repeated rows each take a decision of their own."""
+    per = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null:")).alias("k_id"), "k_hash", "copies")
+    per = per.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("each"))
+    rows = keyed(docs, id_col, text_col).join(per, ["k_id", "k_hash"])
+    times = F.explode(F.array_repeat(F.lit(0), F.element_at("each", F.col("k_n")).cast("int")))
+    return rows.select("row", times.alias("_time")).select("row.*")

@@ -192,6 +192,13 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str, pattern: st
     return pack(tokenised(docs, json_path, ranks_path, pattern, id_col, text_col), max(1, -(-int(total) // stream_bytes)), window)
 
 
+def pack_public(docs: DataFrame, **how) -> DataFrame:
+    """Pack with the installed 50k byte-level vocabulary."""
+    import public_tokenizers as P
+
+    return pack_documents(docs, str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, **how)
+
+
 def padding(pieces: DataFrame, window: int = 1024) -> DataFrame:
     """One row: sequences, ids and padding ids.  A sequence is padded to the window unless its fill is a power of two."""
     fills = pieces.groupBy("sequence_id").agg(F.sum("length").alias("fill"))

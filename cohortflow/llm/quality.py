@@ -93,9 +93,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns as the struct `row`, and the statistics as the struct `stats`."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("struct<" + ",".join(f"{s}:long" for s in STATS) + ">")
+    @F.pandas_udf("struct<" + ",".join(f"{s}:long" for s in STATS) + ">")
     def stats(texts):
         import pandas as pd
 
@@ -230,3 +228,9 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     """Per document: doc_id, the statistics, base_failed, kept."""
     s = document_stats(docs, id_col, text_col)
     return s.select("*", base_failed(F.col).alias("base_failed"), verdict(rules).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows that pass the base rules and the list learned from the labels of these documents."""
+    rules = fit_rules(docs, labels, id_col=id_col, text_col=text_col)
+    return with_stats(docs, text_col).filter(verdict(rules, lambda name: F.col(f"stats.{name}"))).select("row.*")

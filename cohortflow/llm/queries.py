@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortflow.llm import chat, fingerprint, jaccard_join, mixing, packing, quality, secret_scan, sharding, suffix_dedup, warc
 from cohortflow.llm.common import table
 
-_MIX_WEIGHTS = (3.0, 1.0, 2.0)
-
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one with control strings in its texts; digests of what is read back."""
@@ -41,15 +40,9 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 40)
 
 
-def pack_tokens(docs: DataFrame) -> DataFrame:
-    import public_tokenizers as P
-
-    return packing.pack_documents(docs, str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
-
-
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids."""
-    p = pack_tokens(table(spark, sf_dir, "documents"))
+    p = packing.pack_public(table(spark, sf_dir, "documents"))
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -75,7 +68,7 @@ def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 3, 1, 2 in turn and share 150 % of all words."""
-    return mixing.mix(table(spark, sf_dir, "documents"), _MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
+    return mixing.mix(table(spark, sf_dir, "documents"), corpus_pipeline.MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +80,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quartile_digest, op3_token_group_join, op4_kd_sharding, op5_sum_of_squares_packing,
                                    op6_warc_archive, op7_deep_shallow_dedup, op8_secret_ownership, op9_entropy_mix, op10_decision_list)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _ESC = r"replace(replace(replace({}, '\', '\b'), '<', '\l'), '#', '\h')"
 

@@ -102,3 +102,33 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "do
 def joined(spans: Column) -> Column:
     """Spans as kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every run of (overlapping) spans, ordered by start, replaced by the mark."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(a, s):
+        cut = F.concat(a.out, text.substr(a.at + 1, s.start - a.at), F.lit(mark))
+        return F.struct(F.when(s.start >= a["at"], cut).otherwise(a.out).alias("out"), F.greatest(s.end, a["at"]).alias("at"))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat(a.out, text.substr(a["at"] + 1, F.char_length(text))))
+
+
+def without_live(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, live secrets replaced in the texts (and the length column, if there is one, set anew).
+
+    Only the spans of documents that hold live secrets are joined back."""
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null:"))
+    found = find_secrets(docs, owner_col, repo_col, id_col, text_col)
+    found = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null:")).alias("s_id"), F.col("k_hash").alias("s_hash"), F.filter("spans", lambda x: x.live).alias("s_spans"))
+    found = found.filter(F.size("s_spans") > 0).dropDuplicates(["s_id", "s_hash"])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_hash"))
+    both = row.join(found, (F.col("k_id") == F.col("s_id")) & (F.col("k_hash") == F.col("s_hash")), "left")
+    text = F.col("row").getField(text_col)
+    both = both.withColumn("clean", F.when(F.col("s_spans").isNull(), text).otherwise(redact(text, F.col("s_spans"))))
+    new = {text_col: F.col("clean")}
+    if chars_col in docs.columns:
+        kind = dict(docs.dtypes)[chars_col]
+        new[chars_col] = F.when(F.col("s_spans").isNull(), F.col("row").getField(chars_col)).otherwise(F.char_length("clean").cast(kind))
+    return both.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
