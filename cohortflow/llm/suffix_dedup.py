@@ -101,6 +101,8 @@ def _deal_anchors(span: int, buckets: int):
 
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1)):
+                if not doc.is_valid:
+                    continue
                 h = np.unique(anchors(text.as_py(), span)[1])
                 if len(h):
                     keys.append(h)
@@ -163,6 +165,8 @@ def _snippets(span: int, buckets: int):
 
         for b in batches:
             for doc, text, packed in zip(b.column(0), b.column(1), b.column(2)):
+                if not packed.is_valid:
+                    continue
                 doc, raw = doc.as_py(), text.as_py()
                 wanted = np.frombuffer(b"".join(packed.as_py()), np.uint64)
                 at, h = anchors(raw, span)
@@ -369,10 +373,12 @@ def repeated_spans(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
     held = placed.join(copies.hint("shuffle_hash"), "doc_id", "left")
     mine = F.get(F.filter("copies", lambda c: c.digest == F.unhex(F.md5("raw"))), F.lit(0))["first"]
     held = held.select("doc_id", "raw", F.when(F.col("copies").isNotNull(), mine).alias("first"))
-    firsts = held.filter("first is null and doc_id is not null").select("doc_id", "raw")
+    firsts = held.filter("first is null").select("doc_id", "raw")
+    # Left joins, and rows without an id or shared anchors skipped in the tasks: a filter on the id would be pushed below
+    # the exchange of one pass only, which would then no longer be the same exchange.
     packed = firsts.mapInArrow(_deal_anchors(span, n), "bucket int, docs binary, counts binary, keys binary")
     shared = packed.groupBy("bucket").applyInPandas(_shared, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
-    around = firsts.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "raw", "keys").mapInArrow(_snippets(span, n), _ROW)
+    around = firsts.join(shared.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "raw", "keys").mapInArrow(_snippets(span, n), _ROW)
     runs = around.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_suffixes(span), "doc_id long, runs binary")
     runs = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
     out = held.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "raw", "first", "runs")
