@@ -6,7 +6,7 @@ Texts with equal shingle sets are one set (smallest document id), so copies cost
    no other set holds than its links could miss (n - ceil(t * n)) has no link and is done: the group bound for the
    group "everything else".
 2. *Groups.*  The remaining sets are partitioned by their smallest token hash, where similar sets mostly agree, and
-   large groups into blocks.  The matrix holds a row for every (token, group) of the groups' token unions.
+   large groups into blocks of about 250,000 tokens.  The matrix holds a row for every (token, group) of the groups' token unions.
 3. *Candidates.*  Of a set's tokens, the n - ceil(t * n) + 1 that lie in the fewest groups must meet the union of any
    group that holds a partner.  So (set, group) pairs are matrix rows of these tokens; no pair of sets is formed.
 4. *Bound and open.*  With the group's union at hand, the overlap bounds what any member can reach; only groups whose
@@ -34,7 +34,7 @@ from cohortflow.llm.common import shuffle_width, stored
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _SAMPLE = np.uint64(3)  # shingles whose hash has these bits zero: a quarter
 _FLUSH_KEYS = 1_000_000
-BLOCK, CHUNK = 128, 2048
+BLOCK_TOKENS, CHUNK = 250_000, 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -116,8 +116,8 @@ def _profile(n_words: int, buckets: int):
     return run
 
 
-def _own_tokens(pdf):
-    """Of one bucket: per set, how many of its sampled tokens no other set holds."""
+def _own_tokens(pdf, parts: int):
+    """Of one bucket: per set, how many of its sampled tokens no other set holds, packed by parts of the sets."""
     import pandas as pd
 
     sets = np.concatenate([np.repeat(np.frombuffer(s, np.int64), np.frombuffer(c, np.uint32)) for s, c in zip(pdf["sets"], pdf["counts"])])
@@ -128,7 +128,22 @@ def _own_tokens(pdf):
     keys, sets = keys[new], sets[new]
     alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
     own, n = np.unique(sets[alone], return_counts=True)
-    return pd.DataFrame({"lo": own, "own": n.astype(np.int64)})
+    if not len(own):
+        return pd.DataFrame({"part": np.zeros(0, np.int32), "sets": [], "own": []})
+    part = own.view(np.uint64) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    part, own, n = part[order], own[order], n[order].astype(np.uint32)
+    cut = np.flatnonzero(np.diff(part)) + 1
+    return pd.DataFrame({"part": part[np.concatenate([[0], cut])].astype(np.int32), "sets": [x.tobytes() for x in np.split(own, cut)], "own": [x.tobytes() for x in np.split(n, cut)]})
+
+
+def _add_own(pdf):
+    """Of one part of the sets: the counts of all buckets together."""
+    import pandas as pd
+
+    sets, at = np.unique(np.concatenate([np.frombuffer(s, np.int64) for s in pdf["sets"]]), return_inverse=True)
+    own = np.bincount(at, weights=np.concatenate([np.frombuffer(o, np.uint32) for o in pdf["own"]]))
+    return pd.DataFrame({"lo": sets, "own": own.astype(np.int64)})
 
 
 def _tokens(n_words: int):
@@ -237,7 +252,8 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     profile = stored(slim.mapInArrow(_profile(n_words, width), f"doc_id {kind}, n long, hi long, lo long, bucket int, sets binary, counts binary, keys binary"), "sets")
     rows = profile.filter("n is not null").select("doc_id", "n", "hi", "lo")
     packed = profile.filter("bucket is not null").select("bucket", "sets", "counts", "keys")
-    own = packed.groupBy("bucket").applyInPandas(_own_tokens, "lo long, own long").groupBy("lo").agg(F.sum("own").alias("own"))
+    own = packed.groupBy("bucket").applyInPandas(lambda pdf: _own_tokens(pdf, width), "part int, sets binary, own binary")
+    own = own.groupBy("part").applyInPandas(_add_own, "lo long, own long")
     reps = stored(rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "set-reps")
     need = F.floor((F.col("n") * percent + 99) / 100)
     left = reps.join(own, "lo", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("n") - need).select("rep", "n", "hi", "lo")
@@ -245,8 +261,8 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     sets = stored(texts.mapInArrow(_tokens(n_words), f"rep {kind}, n long, low long, tokens array<long>"), "sets-left")
 
     # groups: by the smallest token hash, in blocks
-    light = sets.select("rep", "low").distinct()
-    many = light.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    light = sets.select("rep", "low", "n").distinct()
+    many = light.groupBy("low").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
     grouped = stored(light.join(many, "low").select("rep", F.xxhash64("low", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("gid")), "set-groups")
     members = sets.dropDuplicates(["rep"]).join(grouped, "rep")
     entries = stored(members.select("rep", "gid", "n", F.explode("tokens").alias("token")), "matrix-rows")
