@@ -5,10 +5,12 @@ Texts with equal shingle sets are one set (smallest document id), so copies cost
 1. *Own tokens.*  A quarter of the shingles, chosen by hash, is counted over all sets.  A set with more shingles that
    no other set holds than its links could miss (n - ceil(t * n)) has no link and is done: the group bound for the
    group "everything else".
-2. *Groups.*  The remaining sets are partitioned by their smallest token hash, where similar sets mostly agree, and
-   large groups into blocks of about 250,000 tokens.  The matrix holds a row for every (token, group) of the groups' token unions.
-3. *Candidates.*  Of a set's tokens, the n - ceil(t * n) + 1 that lie in the fewest groups must meet the union of any
-   group that holds a partner.  So (set, group) pairs are matrix rows of these tokens; no pair of sets is formed.
+2. *Groups.*  The remaining sets are partitioned by their smallest token hash, where similar sets mostly agree, and by size;
+   large groups are cut into blocks of about 250,000 tokens.  The matrix holds a row for every (token, group) of the groups' token unions.
+3. *Candidates.*  A set of n shingles, m of them in other groups too, shares at least c = t / (1 + t) * (n + k) with a
+   partner of k.  So of the m, taken by how few groups hold them, one of the first m - c + 1 is the partner's; each
+   matrix entry knows the least k of its sets.  The (set, group) pairs are entries of these tokens; no pair of sets is
+   formed, and of two partners only the larger asks.
 4. *Bound and open.*  With the group's union at hand, the overlap bounds what any member can reach; only groups whose
    bound meets the size condition are opened, and overlaps with all members come from one pass over the postings.
    A group first links its own members, then reports one link per query and linked part, which keeps all components.
@@ -23,6 +25,8 @@ matter (sets are compared by value); extra columns are ignored; an empty table g
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -261,22 +265,27 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     sets = stored(texts.mapInArrow(_tokens(n_words), f"rep {kind}, n long, low long, tokens array<long>"), "sets-left")
 
     # groups: by the smallest token hash, in blocks
-    light = sets.select("rep", "low", "n").distinct()
-    many = light.groupBy("low").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
-    grouped = stored(light.join(many, "low").select("rep", F.xxhash64("low", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("gid")), "set-groups")
+    light = sets.select("rep", "low", "n").distinct().withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.03))))
+    many = light.groupBy("low", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
+    grouped = stored(light.join(many, ["low", "band"]).select("rep", F.xxhash64("low", "band", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("gid")), "set-groups")
     members = sets.dropDuplicates(["rep"]).join(grouped, "rep")
     entries = stored(members.select("rep", "gid", "n", F.explode("tokens").alias("token")), "matrix-rows")
-    matrix = entries.select("token", "gid").distinct()
+    matrix = entries.groupBy("token", "gid").agg(F.min("n").alias("least"))
     spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
 
     # candidates: the tokens in the fewest groups; a token of one group only has no other group to offer
     met = entries.join(spread, "token")
     alone = entries.groupBy("rep").agg(F.count(F.lit(1)).alias("n_all"))
     met_n = met.groupBy("rep").agg(F.count(F.lit(1)).alias("n_met"))
-    quota = alone.join(met_n, "rep").select("rep", (F.col("n_met") - F.floor((F.col("n_all") * percent + 99) / 100) + 1).alias("quota")).filter("quota > 0")
+    quota = alone.join(met_n, "rep").filter(F.col("n_met") >= F.floor((F.col("n_all") * percent + 99) / 100))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("groups", "token"))
-    prefix = met.join(quota, "rep").withColumn("rank", rank).filter("rank <= quota").select("rep", F.col("gid").alias("home"), "token")
-    pairs = stored(prefix.join(matrix, "token").filter("gid <> home").select("rep", "gid").distinct(), "set-pairs")
+    spare = lambda other: F.col("n_met") - F.floor((percent * (F.col("n") + other) + 99 + percent) / (100 + percent)) + 1
+    prefix = met.join(quota.select("rep", "n_met"), "rep").withColumn("rank", rank)
+    prefix = prefix.filter(F.col("rank") <= spare(F.ceil(F.col("n") * percent / 100))).select("rep", F.col("gid").alias("home"), "token", "n", "n_met", "rank")
+    # of two partners the one with more shingles asks; a token counts as far as the smallest set there with it allows
+    near = (F.col("gid") != F.col("home")) & (F.col("least") <= F.col("n")) & (F.col("rank") <= spare(F.greatest("least", F.ceil(F.col("n") * percent / 100))))
+    entry = matrix.select(F.col("token").alias("of"), "gid", "least")
+    pairs = stored(prefix.join(entry, (F.col("token") == F.col("of")) & near).select("rep", "gid").distinct(), "set-pairs")
 
     # open: members of a block against chunks of queries
     chunks = pairs.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
