@@ -24,6 +24,7 @@ import functools
 import math
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 500_000
 _OUT_BYTES = 8 << 20
 _GAP = re.compile(r"\s\s")
 
 
 class _Words(dict):
-    """Ids (little-endian, 32 bits) of a space and the word; emptied when full."""
+    """Ids (little-endian, 32 bits) of a space and the word.  When full, words not used since the last time go."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            out = array("I", self.encode(" " + word)).tobytes()
         if len(self) >= _CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        self[word] = out = np.array(self.encode(" " + word), np.uint32).tobytes()
+        self[word] = out
         return out
 
 
