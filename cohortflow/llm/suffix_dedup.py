@@ -7,7 +7,8 @@ Copies of a text are settled by its digest: all of a copy that is long enough go
    that only one document holds are out: no suffix of their surroundings can repeat elsewhere.
 2. *Suffixes.*  Around each remaining anchor a snippet of at most 2 * span - GRAM bytes holds every `span`-byte string
    with that anchor.  Equal snippets within a task are one (the smallest document's; the others' strings are repeats).
-   Snippets meet by their anchor's hash, and the suffixes that start in them are sorted.
+   Snippets meet by their anchor's hash, where again equal ones are one; the suffixes that start in those which
+   share their anchor with a different snippet are sorted (others have no equal string elsewhere).
 3. *Deep-shallow sorting.*  Multikey quicksort on symbols of eight bytes orders the suffixes to the shallow depth of 16
    bytes.  Groups still together go into blind tries: a node keeps only the length its strings share and branches
    on the byte after it, until the strings are apart or `span` bytes deep.  Leaves are the equal strings, and every
@@ -24,6 +25,7 @@ gives an empty result; texts are treated whole, matches never cross documents.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -273,34 +275,59 @@ def equal_groups(buf: np.ndarray, pos: np.ndarray, span: int) -> tuple[np.ndarra
     return np.concatenate(done_index), np.concatenate(done_group)
 
 
-def _sort_block(span: int, doc, at, head, snippet):
-    """Runs (from, to) per document that the strings of these snippets mark."""
-    heads = np.array(head, np.int64)
-    size = np.array([len(s) - 1 for s in snippet], np.int64)  # without the place
-    starts = np.cumsum(size) - size
-    buf = np.frombuffer(b"".join(s[:-1] for s in snippet) + bytes(span + 8), np.uint8)
-    n = np.minimum(heads, size - span) + 1  # strings of `span` bytes that hold the anchor and fit
-    of = np.repeat(np.arange(len(size)), n)
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    index, group = equal_groups(buf, starts[of] + within, span)
-    if not len(index):
+def _sort_block(span: int, rows: list[tuple]):
+    """Runs (from, to) per document that the strings of these snippets mark.  rows: (doc, anchor, at, head, snippet).
+
+    Equal snippets are one, the smallest document's; in the others all strings repeat.  A snippet that is alone with
+    its anchor has no equal string elsewhere; the suffixes of the rest are sorted."""
+    one: dict[bytes, list] = {}
+    settled: list[tuple[int, int, int]] = []
+    for doc, anchor, at, head, s in rows:
+        was = one.get(s)
+        if was is None:
+            one[s] = [doc, anchor, head, at]
+        elif doc == was[0]:
+            was.append(at)
+        elif doc > was[0]:
+            settled.append((doc, at, at + len(s) - 1))
+        else:
+            settled += [(was[0], x, x + len(s) - 1) for x in was[3:]]
+            one[s] = [doc, anchor, head, at]
+    several = Counter(v[1] for v in one.values())
+    left = [(s, v) for s, v in one.items() if several[v[1]] > 1]
+    parts = [np.array(settled, np.int64).reshape(-1, 3)]
+    if left:
+        heads = np.array([v[2] for _, v in left], np.int64)
+        docs = np.array([v[0] for _, v in left], np.int64)
+        size = np.array([len(s) - 1 for s, _ in left], np.int64)  # without the place
+        starts = np.cumsum(size) - size
+        buf = np.frombuffer(b"".join(s[:-1] for s, _ in left) + bytes(span + 8), np.uint8)
+        n = np.minimum(heads, size - span) + 1  # strings of `span` bytes that hold the anchor and fit
+        of = np.repeat(np.arange(len(size)), n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        index, group = equal_groups(buf, starts[of] + within, span)
+        if len(index):
+            order = np.argsort(group, kind="stable")
+            index, group = index[order], group[order]
+            mine = docs[of[index]]
+            edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            least = np.repeat(np.minimum.reduceat(mine, edge), np.diff(np.concatenate([edge, [len(group)]])))
+            index = index[least < mine]
+            where, inside = of[index], within[index]
+            places = [v[3:] for _, v in left]
+            times = np.array([len(x) for x in places])[where]  # a snippet may stand several times in its document
+            first = np.cumsum([0, *[len(x) for x in places]])[where]
+            every = np.concatenate([np.array(x, np.int64) for x in places])
+            nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            begin = every[np.repeat(first, times) + nth] + np.repeat(inside, times)
+            parts.append(np.stack([np.repeat(docs[where], times), begin, begin + span], axis=1))
+    runs = np.concatenate(parts)
+    if not len(runs):
         return
-    docs = np.array(doc, np.int64)
-    mine = docs[of[index]]
-    order = np.argsort(group, kind="stable")
-    index, group, mine = index[order], group[order], mine[order]
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.repeat(np.minimum.reduceat(mine, edge), np.diff(np.concatenate([edge, [len(group)]])))
-    index = index[least < mine]
-    if not len(index):
-        return
-    where = of[index]
-    begin = np.array(at, np.int64)[where] + within[index]
-    order = np.lexsort((begin, docs[where]))
-    begin, ids = begin[order], docs[where][order]
-    cut = np.flatnonzero(np.diff(ids)) + 1
-    for d, s in zip(ids[np.concatenate([[0], cut])].tolist(), np.split(begin, cut)):
-        yield d, _merge(np.stack([s, s + span], axis=1)).astype(np.int32).tobytes()
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    cut = np.flatnonzero(np.diff(runs[:, 0])) + 1
+    for r in np.split(runs, cut):
+        yield int(r[0, 0]), _merge(r[:, 1:]).astype(np.int32).tobytes()
 
 
 def _sort_suffixes(span: int):
@@ -309,7 +336,7 @@ def _sort_suffixes(span: int):
         held: list[tuple] = []
 
         def work(rows):
-            out = list(_sort_block(span, *zip(*[r[:1] + r[2:] for r in rows])))
+            out = list(_sort_block(span, rows))
             if out:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in out], pa.int64()), "runs": pa.array([r for _, r in out], pa.binary())})
 
