@@ -5,7 +5,7 @@ Texts with equal shingle sets are one set (smallest document id), so copies cost
 1. *Own tokens.*  A quarter of the shingles, chosen by hash, is counted over all sets.  A set with more shingles that
    no other set holds than its links could miss (n - ceil(t * n)) has no link and is done: the group bound for the
    group "everything else".
-2. *Groups.*  The remaining sets are partitioned by their smallest token hash, where similar sets mostly agree, and by size;
+2. *Groups.*  The remaining sets are partitioned by the smallest hash of the sampled tokens that another set holds too, where similar sets mostly agree, and by size;
    large groups are cut into blocks of about 250,000 tokens.  The matrix holds a row for every (token, group) of the groups' token unions.
 3. *Candidates.*  A set of n shingles, m of them in other groups too, shares at least c = t / (1 + t) * (n + k) with a
    partner of k.  So of the m, taken by how few groups hold them, one of the first m - c + 1 is the partner's; each
@@ -37,6 +37,7 @@ from cohortflow.llm.common import shuffle_width, stored
 
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _SAMPLE = np.uint64(3)  # shingles whose hash has these bits zero: a quarter
+_NONE = np.uint64(2**63 - 1)
 _FLUSH_KEYS = 1_000_000
 BLOCK_TOKENS, CHUNK = 250_000, 2048
 
@@ -131,33 +132,40 @@ def _own_tokens(pdf, parts: int):
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])  # a set sent by several tasks counts once
     keys, sets = keys[new], sets[new]
     alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
-    own, n = np.unique(sets[alone], return_counts=True)
-    if not len(own):
-        return pd.DataFrame({"part": np.zeros(0, np.int32), "sets": [], "own": []})
-    part = own.view(np.uint64) % np.uint64(parts)
+    rank = _mix(keys.astype(np.uint64) | np.uint64(int(pdf["bucket"].iloc[0])) << np.uint64(32)) >> np.uint64(1)
+    rank[alone] = _NONE
+    order = np.argsort(sets, kind="stable")
+    sets, alone, rank = sets[order], alone[order], rank[order]
+    starts = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]]))
+    sets, own, low = sets[starts], np.add.reduceat(alone.astype(np.uint32), starts), np.minimum.reduceat(rank, starts)
+    part = sets.view(np.uint64) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
-    part, own, n = part[order], own[order], n[order].astype(np.uint32)
-    cut = np.flatnonzero(np.diff(part)) + 1
-    return pd.DataFrame({"part": part[np.concatenate([[0], cut])].astype(np.int32), "sets": [x.tobytes() for x in np.split(own, cut)], "own": [x.tobytes() for x in np.split(n, cut)]})
+    cut = np.flatnonzero(np.diff(part[order])) + 1
+    packed = {k: [x.tobytes() for x in np.split(v[order], cut)] for k, v in (("sets", sets), ("own", own.astype(np.uint32)), ("low", low))}
+    return pd.DataFrame({"part": part[order][np.concatenate([[0], cut])].astype(np.int32), **packed})
 
 
 def _add_own(pdf):
-    """Of one part of the sets: the counts of all buckets together."""
+    """Of one part of the sets: own tokens in all buckets, and the smallest hash of a token that is not own."""
     import pandas as pd
 
-    sets, at = np.unique(np.concatenate([np.frombuffer(s, np.int64) for s in pdf["sets"]]), return_inverse=True)
-    own = np.bincount(at, weights=np.concatenate([np.frombuffer(o, np.uint32) for o in pdf["own"]]))
-    return pd.DataFrame({"lo": sets, "own": own.astype(np.int64)})
+    every = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
+    sets = every("sets", np.int64)
+    order = np.argsort(sets, kind="stable")
+    sets = sets[order]
+    starts = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]]))
+    own, low = np.add.reduceat(every("own", np.uint32)[order].astype(np.int64), starts), np.minimum.reduceat(every("low", np.uint64)[order], starts)
+    return pd.DataFrame({"lo": sets[starts], "own": own, "low": low.astype(np.int64)})
 
 
 def _tokens(n_words: int):
     def run(batches):
         for b in batches:
             keep, size = [], 0
-            for i, (rep, n, hi, lo, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4))):
+            for i, (rep, n, hi, lo, low, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), b.column(5))):
                 s = shingles(text.as_py(), n_words)
                 if set_hash(s) == (hi, lo):  # another row may carry the same id
-                    keep.append((rep, n, int(_mix(s).min() >> np.uint64(1)), s.view(np.int64)))
+                    keep.append((rep, n, low if low != int(_NONE) else int(_mix(s).min() >> np.uint64(1)), s.view(np.int64)))
                     size += len(s)
                 if keep and (size >= 500_000 or i == b.num_rows - 1):
                     yield out(b, keep)
@@ -256,12 +264,12 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     profile = stored(slim.mapInArrow(_profile(n_words, width), f"doc_id {kind}, n long, hi long, lo long, bucket int, sets binary, counts binary, keys binary"), "sets")
     rows = profile.filter("n is not null").select("doc_id", "n", "hi", "lo")
     packed = profile.filter("bucket is not null").select("bucket", "sets", "counts", "keys")
-    own = packed.groupBy("bucket").applyInPandas(lambda pdf: _own_tokens(pdf, width), "part int, sets binary, own binary")
-    own = own.groupBy("part").applyInPandas(_add_own, "lo long, own long")
+    own = packed.groupBy("bucket").applyInPandas(lambda pdf: _own_tokens(pdf, width), "part int, sets binary, own binary, low binary")
+    own = own.groupBy("part").applyInPandas(_add_own, "lo long, own long, low long")
     reps = stored(rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "set-reps")
     need = F.floor((F.col("n") * percent + 99) / 100)
-    left = reps.join(own, "lo", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("n") - need).select("rep", "n", "hi", "lo")
-    texts = left.join(slim, F.col("rep") == F.col("doc_id")).select("rep", "n", "hi", "lo", "text")
+    left = reps.join(own, "lo", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("n") - need).select("rep", "n", "hi", "lo", F.coalesce("low", F.lit(int(_NONE))).alias("low"))
+    texts = left.join(slim, F.col("rep") == F.col("doc_id")).select("rep", "n", "hi", "lo", "low", "text")
     sets = stored(texts.mapInArrow(_tokens(n_words), f"rep {kind}, n long, low long, tokens array<long>"), "sets-left")
 
     # groups: by the smallest token hash, in blocks
