@@ -106,7 +106,8 @@ def balanced_sample(
     shuffle (window group limit), so a hot group is cut map-side; the selected key set is at most
     n_per_group per group and is broadcast to the semi-join."""
     text = rule_text(code_cols[0], code_cols[1], "None")
-    ent = tall.select(group_col, entity_col, text.rlike(any_code_pattern(label_codes)).cast("int").alias("_t")).groupBy(
+    named = tall.filter(F.col(entity_col).isNotNull())  # rows without an entity take no place in the sample
+    ent = named.select(group_col, entity_col, text.rlike(any_code_pattern(label_codes)).cast("int").alias("_t")).groupBy(
         group_col, entity_col
     ).agg(F.max("_t").alias("tgt"))
     sizes = ent.groupBy(group_col).agg(
