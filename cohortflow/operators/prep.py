@@ -23,11 +23,12 @@ from cohortflow.operators.quantiles import quantiles_wide
 
 
 # PREP-1 / PREP-10 -----------------------------------------------------------------------------
-def rank_within(df: DataFrame, group_cols: Sequence[str], order_col: str, rank_col: str = "rank") -> DataFrame:
-    """1-based rank by a unique order key within each group (distributed running count)."""
+def rank_within(df: DataFrame, group_cols: Sequence[str], order_col: str, rank_col: str = "rank", size_col: str | None = None) -> DataFrame:
+    """1-based rank by a unique order key within each group (distributed running count), and the group's size."""
     base = df.withColumn("_one", F.lit(1).cast("bigint"))
     ranked = prefix_sums(base, group_cols, [order_col], ["_one"])
-    return ranked.withColumnRenamed("_one_upto", rank_col).drop("_one", "_one_before", "_one_total")
+    out = ranked.withColumnRenamed("_one_upto", rank_col).drop("_one", "_one_before")
+    return out.withColumnRenamed("_one_total", size_col) if size_col else out.drop("_one_total")
 
 
 def stratified_split(
@@ -35,8 +36,7 @@ def stratified_split(
 ) -> DataFrame:
     """Exact per-class split: within each class the first round(f * n_class) rows by hash order are test."""
     keyed = df.withColumn("_h", hash_order(seed, id_col))
-    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_within(keyed, [label_col], "_h", "_rk").join(F.broadcast(sizes), label_col)  # one row per class
+    ranked = rank_within(keyed, [label_col], "_h", "_rk", "_n")
     n_test = F.floor(F.col("_n") * F.lit(test_fraction) + F.lit(0.5))
     return ranked.withColumn("split", F.when(F.col("_rk") <= n_test, F.lit("test")).otherwise(F.lit("train"))).drop(
         "_h", "_rk", "_n"
@@ -61,13 +61,12 @@ def missing_ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fit_label_encoding(train: DataFrame, col: str) -> DataFrame:
     """Alphabetical codes 0..k-1 over the distinct non-null training values (k = #categories)."""
     values = train.select(F.col(col).cast("string").alias("category")).filter(F.col("category").isNotNull()).distinct()
-    w = F.dense_rank().over(Window.orderBy("category")) - F.lit(1)  # over the distinct categories only
-    return values.select("category", w.cast("int").alias("code"))
+    return rank_within(values, [], "category", "_rk").select("category", (F.col("_rk") - 1).cast("int").alias("code"))
 
 
 def apply_label_encoding(df: DataFrame, col: str, mapping: DataFrame, out_col: str) -> DataFrame:
-    """Left join to the (small, #categories) mapping; NULL and unseen categories stay NULL."""
-    m = F.broadcast(mapping.withColumnRenamed("category", "_cat").withColumnRenamed("code", out_col))
+    """Left join to the mapping; NULL and unseen categories stay NULL.  Spark picks the join by the mapping's size."""
+    m = mapping.withColumnRenamed("category", "_cat").withColumnRenamed("code", out_col)
     return df.join(m, F.col(col).cast("string") == F.col("_cat"), "left").drop("_cat")
 
 
@@ -177,8 +176,12 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str], prefix: str | No
     return df.withColumns({f"{pre}_{c}": F.coalesce((F.col(col) == F.lit(c)).cast("int"), F.lit(0)) for c in categories})
 
 
-def train_categories(train: DataFrame, col: str) -> list[str]:
-    return [r[0] for r in train.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).collect()]  # <= #categories
+def train_categories(train: DataFrame, col: str, most: int = 1000) -> list[str]:
+    """The categories in order; they become columns, so more than `most` of them is an error."""
+    found = [r[0] for r in train.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} categories; encode it by label instead")
+    return found
 
 
 # PREP-12 ------------------------------------------------------------------------------------
@@ -200,10 +203,6 @@ def class_weights(train: DataFrame, label_col: str) -> DataFrame:
     )
 
 
-def with_weight_col(df: DataFrame, weights: DataFrame, label_col: str, out_col: str = "weight") -> DataFrame:
-    return df.join(F.broadcast(weights.select(label_col, F.col("weight").alias(out_col))), label_col, "left")
-
-
 def round_features(df: DataFrame, cols: Sequence[str], digits: int = 9) -> DataFrame:
     """Fix scaled values to a decimal grid so distance ties do not depend on aggregation order."""
     return df.withColumns({c: rdp(F.col(c), digits) for c in cols})

@@ -20,8 +20,6 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2:]
     spark = build_session()
-    if os.environ.get("FORCE_TWO_LEVEL") == "1":  # every running sum takes the range-slice path
-        spark.conf.set("spark.cohortflow.prefix.localLimit", "0")
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
