@@ -3,14 +3,14 @@
 Each formula is also available as DuckDB SQL text (``*_sql``) built from the same constants, so the
 oracle computes identical arithmetic.  No SciPy is needed on executors or driver.
 
-* Normal two-sided tail: Q(1/2, z^2/2) with the incomplete gamma below (exact); the A&S 7.1.26 erfc
-  (absolute error <= 1.5e-7) remains only inside the far-tail branches for very large df.
-* Student t two-sided tail: the regularised incomplete beta I_{df/(df+t^2)}(df/2, 1/2), computed with a
-  fixed-length continued fraction (modified Lentz, 200 steps, folded with ``aggregate`` / ``list_reduce``)
-  and a Lanczos log-gamma -- exact to ~1e-14 for fractional df up to 1e4; above that, Hill's normalising
-  expansion (ACM Algorithm 395) with the normal tail.
-* Chi-square survival: the regularised upper incomplete gamma Q(dof/2, x/2) by series / continued fraction
-  (same fold technique) up to 1000 degrees of freedom; Wilson-Hilferty above.
+* Normal two-sided tail: Q(1/2, z^2/2) with the incomplete gamma below.
+* Student t two-sided tail: the regularised incomplete beta I_{df/(df+t^2)}(df/2, 1/2), a continued fraction
+  (modified Lentz, folded with ``aggregate`` / ``list_reduce``) for every df, fractional or large.
+* Chi-square survival: the regularised upper incomplete gamma Q(dof/2, x/2) by series / continued fraction.
+
+The number of steps grows with the square root of the degrees of freedom, as convergence asks; the factors in front
+are written with log1p and the difference of two Lanczos forms, so large degrees of freedom cost no digits.  These
+run on a few summary rows, one per feature.
 """
 
 from __future__ import annotations
@@ -20,33 +20,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A&S 7.1.26 coefficients (p, a1..a5).
-_AS_P = 0.3275911
-_AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-_SQRT2 = math.sqrt(2.0)
-
-
-def erfc(x: Column) -> Column:
-    """erfc for any real x (uses erfc(-x) = 2 - erfc(x))."""
-    ax = F.abs(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(_AS_P) * ax)
-    poly = F.lit(_AS_A[4])
-    for a in reversed(_AS_A[:4]):
-        poly = poly * t + F.lit(a)
-    pos = poly * t * F.exp(-(ax * ax))
-    return F.when(x.isNull(), None).when(x >= 0, pos).otherwise(F.lit(2.0) - pos)
-
-
-def erfc_sql(x: str) -> str:
-    ax = f"abs({x})"
-    t = f"(1.0::double / (1.0::double + {_AS_P!r}::double * {ax}))"
-    poly = f"{_AS_A[4]!r}::double"
-    for a in reversed(_AS_A[:4]):
-        poly = f"({poly} * {t} + {a!r}::double)"
-    pos = f"({poly} * {t} * exp(-({ax} * {ax})))"
-    return f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) >= 0 THEN {pos} ELSE 2.0::double - {pos} END)"
-
-
 def normal_two_sided(z: Column) -> Column:
     """P(|Z| >= |z|) = erfc(|z|/sqrt 2) = Q(1/2, z^2/2), exact (incomplete gamma), capped at 1."""
     q = _gamma_q(F.lit(0.5), z * z / F.lit(2.0))
@@ -61,16 +34,6 @@ def normal_two_sided_sql(z: str) -> str:
     )
 
 
-def _hill_z(t2: Column, df: Column) -> Column:
-    a = df - F.lit(0.5)
-    b = F.lit(48.0) * a * a
-    y = a * F.log1p(t2 / df)
-    inner = (((F.lit(-0.4) * y - F.lit(3.3)) * y - F.lit(24.0)) * y - F.lit(85.5)) / (
-        F.lit(0.8) * y * y + F.lit(100.0) + b
-    )
-    return ((inner + y + F.lit(3.0)) / b + F.lit(1.0)) * F.sqrt(y)
-
-
 # Lanczos approximation of log-gamma, g = 7, nine coefficients (valid for z >= 0.5).
 _LANCZOS_G = 7.0
 _LANCZOS = (
@@ -80,25 +43,38 @@ _LANCZOS = (
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 _FPMIN = 1e-300
 _CF_STEPS = 200
-_EXACT_DF_MAX = 1e4
 
 
-def _lgamma(z: Column) -> Column:
-    zz = z - F.lit(1.0)
+def _steps(a: Column) -> Column:
+    """1, 2, ... as many steps as the expansions need at parameter a."""
+    return F.sequence(F.lit(1), (F.lit(_CF_STEPS) + F.ceil(F.lit(10.0) * F.sqrt(a))).cast("int"))
+
+
+def _steps_sql(a: str) -> str:
+    return f"range(1, CAST({_CF_STEPS + 1} + ceil(10.0::double * sqrt({a})) AS BIGINT))"
+
+
+def _log1p_sql(z: str) -> str:
+    u = f"(1.0::double + ({z}))"
+    return f"(CASE WHEN {u} = 1.0::double THEN ({z}) ELSE ln({u}) * (({z}) / ({u} - 1.0::double)) END)"
+
+
+def _lanczos(z: Column) -> Column:
+    """The sum S of log-gamma(z) = ln(2 pi) / 2 + (z - 1/2) ln(z + 13/2) - (z + 13/2) + ln S."""
     s = F.lit(_LANCZOS[0])
     for i, c in enumerate(_LANCZOS[1:], start=1):
-        s = s + F.lit(c) / (zz + F.lit(float(i)))
-    tt = zz + F.lit(_LANCZOS_G + 0.5)
-    return F.lit(_HALF_LOG_2PI) + (zz + F.lit(0.5)) * F.log(tt) - tt + F.log(s)
+        s = s + F.lit(c) / (z - F.lit(1.0) + F.lit(float(i)))
+    return s
 
 
-def _lgamma_sql(z: str) -> str:
-    zz = f"(({z}) - 1.0::double)"
+def _lanczos_sql(z: str) -> str:
     s = f"{_LANCZOS[0]!r}::double"
     for i, c in enumerate(_LANCZOS[1:], start=1):
-        s = f"({s} + {c!r}::double / ({zz} + {float(i)!r}::double))"
-    tt = f"({zz} + {_LANCZOS_G + 0.5!r}::double)"
-    return f"({_HALF_LOG_2PI!r}::double + ({zz} + 0.5::double) * ln({tt}) - {tt} + ln({s}))"
+        s = f"({s} + {c!r}::double / (({z}) - 1.0::double + {float(i)!r}::double))"
+    return s
+
+
+_SHIFT = _LANCZOS_G - 0.5  # z + _SHIFT is the base of the power above
 
 
 def _guard(v: Column) -> Column:
@@ -110,7 +86,7 @@ def _guard_sql(v: str) -> str:
 
 
 def _betacf(a: Column, b: Column, x: Column) -> Column:
-    """Continued fraction of the incomplete beta (modified Lentz), a fixed number of steps as an array fold."""
+    """Continued fraction of the incomplete beta (modified Lentz) as an array fold."""
     qab, qap, qam = a + b, a + F.lit(1.0), a - F.lit(1.0)
     d0 = F.lit(1.0) / _guard(F.lit(1.0) - qab * x / qap)
     init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
@@ -127,7 +103,7 @@ def _betacf(a: Column, b: Column, x: Column) -> Column:
         c2 = _guard(F.lit(1.0) + aa2 / c)
         return F.struct(c2.alias("c"), d2.alias("d"), (h * d2 * c2).alias("h"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_CF_STEPS)), init, step)["h"]
+    return F.aggregate(_steps(a + b), init, step)["h"]
 
 
 def _betacf_sql(a: str, b: str, x: str) -> str:
@@ -144,71 +120,76 @@ def _betacf_sql(a: str, b: str, x: str) -> str:
     c2 = _guard_sql(f"(1.0::double + {aa2} / {c})")
     body = f"{{'c': {c2}, 'd': {d2}, 'h': ({h} * {d2} * {c2})}}"
     init = f"{{'c': 1.0::double, 'd': {d0}, 'h': {d0}}}"
-    return f"(list_reduce(range(1, {_CF_STEPS + 1}), lambda acc, m: {body}, {init})).h"
-
-
-def _ibeta(a: Column, b: Column, x: Column) -> Column:
-    """Regularised incomplete beta I_x(a, b) for 0 < x < 1 (symmetry picks the fast-converging side)."""
-    front = F.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * F.log(x) + b * F.log(F.lit(1.0) - x))
-    direct = front * _betacf(a, b, x) / a
-    mirrored = F.lit(1.0) - front * _betacf(b, a, F.lit(1.0) - x) / b
-    return F.when(x < (a + F.lit(1.0)) / (a + b + F.lit(2.0)), direct).otherwise(mirrored)
-
-
-def _ibeta_sql(a: str, b: str, x: str) -> str:
-    front = (
-        f"exp({_lgamma_sql(f'({a}) + ({b})')} - {_lgamma_sql(a)} - {_lgamma_sql(b)}"
-        f" + ({a}) * ln({x}) + ({b}) * ln(1.0::double - ({x})))"
+    return f"(list_reduce({_steps_sql(qab)}, lambda acc, m: {body}, {init})).h"
+
+
+def _t_tail(t2: Column, df: Column) -> Column:
+    """I_x(df/2, 1/2) at x = df / (df + t2), 0 < x < 1 (symmetry picks the fast-converging side)."""
+    a, half = df / F.lit(2.0), F.lit(0.5)
+    x, y = df / (df + t2), t2 / (df + t2)
+    base = a + F.lit(_SHIFT)
+    # log-gamma(a + 1/2) - log-gamma(a), without the cancellation of the two
+    gap = a * F.log1p(half / base) + half * F.log(base) - half + F.log(_lanczos(a + half) / _lanczos(a))
+    front = F.exp(gap - F.lit(0.5 * math.log(math.pi)) - a * F.log1p(t2 / df) + half * F.log(y))
+    direct = front * _betacf(a, half, x) / a
+    mirrored = F.lit(1.0) - front * _betacf(half, a, y) / half
+    return F.when(x < (a + F.lit(1.0)) / (a + F.lit(2.5)), direct).otherwise(mirrored)
+
+
+def _t_tail_sql(t2: str, df: str) -> str:
+    a = f"(({df}) / 2.0::double)"
+    x, y = f"(({df}) / (({df}) + {t2}))", f"({t2} / (({df}) + {t2}))"
+    base = f"({a} + {_SHIFT!r}::double)"
+    gap = (
+        f"({a} * {_log1p_sql(f'0.5::double / {base}')} + 0.5::double * ln({base}) - 0.5::double"
+        f" + ln({_lanczos_sql(f'{a} + 0.5::double')} / {_lanczos_sql(a)}))"
     )
-    direct = f"({front} * {_betacf_sql(a, b, x)} / ({a}))"
-    mirrored = f"(1.0::double - {front} * {_betacf_sql(b, a, f'(1.0::double - ({x}))')} / ({b}))"
-    return f"(CASE WHEN ({x}) < (({a}) + 1.0::double) / (({a}) + ({b}) + 2.0::double) THEN {direct} ELSE {mirrored} END)"
+    front = f"exp({gap} - {0.5 * math.log(math.pi)!r}::double - {a} * {_log1p_sql(f'{t2} / ({df})')} + 0.5::double * ln({y}))"
+    direct = f"({front} * {_betacf_sql(a, '0.5::double', x)} / {a})"
+    mirrored = f"(1.0::double - {front} * {_betacf_sql('0.5::double', a, y)} / 0.5::double)"
+    return f"(CASE WHEN {x} < ({a} + 1.0::double) / ({a} + 2.5::double) THEN {direct} ELSE {mirrored} END)"
 
 
 def student_t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p of a t statistic with (possibly fractional) degrees of freedom:
-    I_{df/(df+t^2)}(df/2, 1/2) exactly (continued fraction) up to df = 1e4; Hill's expansion beyond,
-    where it is accurate to far below the reported precision."""
-    x = df / (df + t * t)
-    exact = _ibeta(df / F.lit(2.0), F.lit(0.5), x)
-    hill = normal_two_sided(_hill_z(t * t, df))
+    """Two-sided p of a t statistic with (possibly fractional) degrees of freedom."""
+    tail = _t_tail(t * t, df)
     return (
         F.when(t.isNull() | df.isNull() | (df <= 0), None)
         .when(t * t == 0, F.lit(1.0))
-        .when(df <= F.lit(_EXACT_DF_MAX), F.least(F.greatest(exact, F.lit(0.0)), F.lit(1.0)))
-        .otherwise(hill)
+        .otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
     )
 
 
 def student_t_two_sided_sql(t: str, df: str) -> str:
-    x = f"(({df}) / (({df}) + ({t}) * ({t})))"
-    exact = _ibeta_sql(f"(({df}) / 2.0::double)", "0.5::double", x)
+    t2 = f"(({t}) * ({t}))"
     return (
         f"(CASE WHEN ({t}) IS NULL OR ({df}) IS NULL OR ({df}) <= 0 THEN NULL "
-        f"WHEN ({t}) * ({t}) = 0 THEN 1.0::double "
-        f"WHEN ({df}) <= {_EXACT_DF_MAX!r}::double THEN least(greatest({exact}, 0.0::double), 1.0::double) "
-        f"ELSE {_hill_sql(t, df)} END)"
+        f"WHEN {t2} = 0 THEN 1.0::double "
+        f"ELSE least(greatest({_t_tail_sql(t2, df)}, 0.0::double), 1.0::double) END)"
     )
 
 
-def _hill_sql(t: str, df: str) -> str:
-    a = f"(({df}) - 0.5::double)"
-    b = f"(48.0::double * {a} * {a})"
-    y = f"({a} * ln(1.0::double + (({t}) * ({t})) / ({df})))"
-    inner = (
-        f"((((-0.4::double * {y} - 3.3::double) * {y} - 24.0::double) * {y} - 85.5::double)"
-        f" / (0.8::double * {y} * {y} + 100.0::double + {b}))"
-    )
-    z = f"((({inner} + {y} + 3.0::double) / {b} + 1.0::double) * sqrt({y}))"
-    return f"(CASE WHEN ({t}) IS NULL OR ({df}) IS NULL OR ({df}) <= 0 THEN NULL ELSE {normal_two_sided_sql(z)} END)"
+def _gamma_front(a: Column, x: Column) -> Column:
+    """x^a e^-x / gamma(a): with T the base of the Lanczos power and u = (x - T) / T, large terms cancel exactly."""
+    base = a + F.lit(_SHIFT)
+    u = (x - base) / base
+    log = F.when(F.abs(u) < 0.5, F.log1p(u)).otherwise(F.log(x / base))
+    return F.exp(a * (log - u) - F.lit(_SHIFT) * u + F.lit(0.5) * F.log(base) - F.lit(_HALF_LOG_2PI) - F.log(_lanczos(a)))
 
 
-_CHI2_EXACT_DOF_MAX = 1000
+def _gamma_front_sql(a: str, x: str) -> str:
+    base = f"(({a}) + {_SHIFT!r}::double)"
+    u = f"((({x}) - {base}) / {base})"
+    log = f"(CASE WHEN abs({u}) < 0.5 THEN {_log1p_sql(u)} ELSE ln(({x}) / {base}) END)"
+    return (
+        f"exp(({a}) * ({log} - {u}) - {_SHIFT!r}::double * {u} + 0.5::double * ln({base})"
+        f" - {_HALF_LOG_2PI!r}::double - ln({_lanczos_sql(a)}))"
+    )
 
 
 def _gamma_q(a: Column, x: Column) -> Column:
     """Regularised upper incomplete gamma Q(a, x): series below a + 1, continued fraction above."""
-    front = F.exp(-x + a * F.log(x) - _lgamma(a))
+    front = _gamma_front(a, x)
     ser0 = F.struct(a.alias("ap"), (F.lit(1.0) / a).alias("dl"), (F.lit(1.0) / a).alias("sm"))
 
     def ser_step(acc, _n):
@@ -216,7 +197,7 @@ def _gamma_q(a: Column, x: Column) -> Column:
         dl = acc["dl"] * x / ap
         return F.struct(ap.alias("ap"), dl.alias("dl"), (acc["sm"] + dl).alias("sm"))
 
-    p_series = F.aggregate(F.sequence(F.lit(1), F.lit(_CF_STEPS)), ser0, ser_step)["sm"] * front
+    p_series = F.aggregate(_steps(a), ser0, ser_step)["sm"] * front
     b0 = x + F.lit(1.0) - a
     cf0 = F.struct(b0.alias("b"), F.lit(1.0 / _FPMIN).alias("c"), (F.lit(1.0) / _guard(b0)).alias("d"),
                    (F.lit(1.0) / _guard(b0)).alias("h"))
@@ -229,18 +210,18 @@ def _gamma_q(a: Column, x: Column) -> Column:
         c = _guard(b + an / acc["c"])
         return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
 
-    q_cf = F.aggregate(F.sequence(F.lit(1), F.lit(_CF_STEPS)), cf0, cf_step)["h"] * front
+    q_cf = F.aggregate(_steps(a), cf0, cf_step)["h"] * front
     return F.when(x < a + F.lit(1.0), F.lit(1.0) - p_series).otherwise(q_cf)
 
 
 def _gamma_q_sql(a: str, x: str) -> str:
-    front = f"exp(-({x}) + ({a}) * ln({x}) - {_lgamma_sql(a)})"
+    front = _gamma_front_sql(a, x)
     ser_body = (
         "{'ap': acc.ap + 1.0::double, 'dl': acc.dl * (" + x + ") / (acc.ap + 1.0::double), "
         "'sm': acc.sm + acc.dl * (" + x + ") / (acc.ap + 1.0::double)}"
     )
     ser_init = f"{{'ap': ({a})::double, 'dl': 1.0::double / ({a}), 'sm': 1.0::double / ({a})}}"
-    p_series = f"((list_reduce(range(1, {_CF_STEPS + 1}), lambda acc, n: {ser_body}, {ser_init})).sm * {front})"
+    p_series = f"((list_reduce({_steps_sql(a)}, lambda acc, n: {ser_body}, {ser_init})).sm * {front})"
     b0 = f"(({x}) + 1.0::double - ({a}))"
     i = "CAST(i AS DOUBLE)"
     an = f"(-{i} * ({i} - ({a})))"
@@ -252,43 +233,28 @@ def _gamma_q_sql(a: str, x: str) -> str:
         f"{{'b': {b0}, 'c': {1.0 / _FPMIN!r}::double, 'd': 1.0::double / {_guard_sql(b0)}, "
         f"'h': 1.0::double / {_guard_sql(b0)}}}"
     )
-    q_cf = f"((list_reduce(range(1, {_CF_STEPS + 1}), lambda acc, i: {cf_body}, {cf_init})).h * {front})"
+    q_cf = f"((list_reduce({_steps_sql(a)}, lambda acc, i: {cf_body}, {cf_init})).h * {front})"
     return f"(CASE WHEN ({x}) < ({a}) + 1.0::double THEN 1.0::double - {p_series} ELSE {q_cf} END)"
 
 
-def _wilson_hilferty(x: Column, dof: Column) -> Column:
-    k = dof.cast("double")
-    z = (F.pow(x / k, F.lit(1.0 / 3.0)) - (F.lit(1.0) - F.lit(2.0) / (F.lit(9.0) * k))) / F.sqrt(
-        F.lit(2.0) / (F.lit(9.0) * k)
-    )
-    return F.lit(0.5) * erfc(z / F.lit(_SQRT2))
-
-
 def chi2_sf(x: Column, dof: Column) -> Column:
-    """Upper tail of chi-square: Q(dof/2, x/2) exactly up to 1000 degrees of freedom, Wilson-Hilferty above."""
+    """Upper tail of chi-square: Q(dof/2, x/2)."""
     k = dof.cast("double")
     exact = _gamma_q(k / F.lit(2.0), x / F.lit(2.0))
     return (
         F.when(x.isNull() | dof.isNull() | (dof < 1), None)
         .when(x <= 0, F.lit(1.0))
-        .when(dof <= _CHI2_EXACT_DOF_MAX, F.least(F.greatest(exact, F.lit(0.0)), F.lit(1.0)))
-        .otherwise(F.least(_wilson_hilferty(x, dof), F.lit(1.0)))
+        .otherwise(F.least(F.greatest(exact, F.lit(0.0)), F.lit(1.0)))
     )
 
 
 def chi2_sf_sql(x: str, dof: str) -> str:
     k = f"(({dof})::double)"
     exact = _gamma_q_sql(f"({k} / 2.0::double)", f"(({x}) / 2.0::double)")
-    z = (
-        f"((pow(({x}) / {k}, {1.0 / 3.0!r}::double) - (1.0::double - 2.0::double / (9.0::double * {k})))"
-        f" / sqrt(2.0::double / (9.0::double * {k})))"
-    )
-    wh = f"(0.5::double * {erfc_sql(f'{z} / {_SQRT2!r}::double')})"
     return (
         f"(CASE WHEN ({x}) IS NULL OR ({dof}) IS NULL OR ({dof}) < 1 THEN NULL "
         f"WHEN ({x}) <= 0 THEN 1.0::double "
-        f"WHEN ({dof}) <= {_CHI2_EXACT_DOF_MAX} THEN least(greatest({exact}, 0.0::double), 1.0::double) "
-        f"ELSE least({wh}, 1.0::double) END)"
+        f"ELSE least(greatest({exact}, 0.0::double), 1.0::double) END)"
     )
 
 

@@ -270,12 +270,3 @@ def apply_cohort_rules(
     )
     out = code_flags(out, rules.flags, code_cols)
     return out.drop(first_col, last_col)
-
-
-def cohort_table(tall_raw: DataFrame, panels: Sequence[str], rules: CohortRules, iqr_method: str = "exact") -> DataFrame:
-    """Whole slice: parse -> IQR null-out (whole panels) -> window -> roll up -> rules."""
-    parsed = parse_measurements(tall_raw)
-    cleaned = iqr_nullout(parsed, method=iqr_method)
-    windowed = time_window(cleaned, "performed_at", rules.start, rules.end)
-    feats = entity_rollup(windowed, panels=panels)
-    return apply_cohort_rules(feats, rules)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.functions.scalar import rdp
 from cohortflow.operators.prefix import prefix_sums
 
 
@@ -239,7 +240,8 @@ def case_select(scored: DataFrame) -> DataFrame:
 # EVL-9 / SRT-8 ------------------------------------------------------------------------------
 def model_comparison(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     m = binary_metrics(scored, threshold).join(roc_auc(scored), "model")
-    w = Window.orderBy(F.col("f1").desc(), F.col("auc").desc(), F.col("recall").desc(), F.col("model"))  # <= #models rows
+    # models compare by what is reported, four places; <= #models rows
+    w = Window.orderBy(*[rdp(c, 4).desc() for c in ("f1", "auc", "recall")], F.col("model"))
     ranked = m.withColumn("rank", F.row_number().over(w).cast("bigint"))
     return ranked.select(
         "model", "accuracy", "precision", "recall", "f1", "auc", "brier", "rank", (F.col("rank") == 1).alias("is_champion")

@@ -152,23 +152,23 @@ def group_attribution(attr: DataFrame, rows: DataFrame, cut: float = 0.02, id_co
 
 
 # SCL-10 -------------------------------------------------------------------------------------
-def apply_bands(values: DataFrame, bands: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """values (keys..., metric, value) x bands (metric, op, threshold, severity, label): the most severe band
-    whose condition holds; metrics with no matching band get severity 0 and the metric's 'normal' label.
-    The band table is a fixed handful of rows per metric, joined by metric and broadcast."""
-    b = F.broadcast(bands)
-    j = values.join(b, "metric")
-    v, t = F.col("value"), F.col("threshold")
-    hit = (
-        ((F.col("op") == ">") & (v > t))
-        | ((F.col("op") == "<") & (v < t))
-        | ((F.col("op") == ">=") & (v >= t))
-        | (F.col("op") == "else")
-    )
-    best = j.filter(hit & v.isNotNull()).groupBy(*key_cols, "metric", "value").agg(
-        F.max_by(F.struct("severity", "label"), F.col("severity")).alias("b")
-    )
-    return best.select(*key_cols, "metric", "value", F.col("b.severity").alias("severity"), F.col("b.label").alias("label"))
+def band(metric: Column, value: Column, bands: Sequence[tuple]) -> Column:
+    """struct(severity, label) of the most severe band (metric, op, threshold, severity, label) whose condition holds:
+    a chain of conditions, no join.  NULL without a value or a band."""
+    out = None
+    for name, op, threshold, severity, label in sorted(bands, key=lambda b: -b[3]):
+        limit = F.lit(threshold)
+        holds = {">": value > limit, "<": value < limit, ">=": value >= limit, "else": F.lit(True)}[op]
+        cond = (metric == F.lit(name)) & value.isNotNull() & holds
+        pick = F.struct(F.lit(severity).alias("severity"), F.lit(label).alias("label"))
+        out = F.when(cond, pick) if out is None else out.when(cond, pick)
+    return out
+
+
+def apply_bands(values: DataFrame, bands: Sequence[tuple], key_cols: Sequence[str]) -> DataFrame:
+    """values (keys..., metric, value) -> every row that a band holds for, with its severity and label; equal rows stay."""
+    hit = values.select(*key_cols, "metric", "value", band(F.col("metric"), F.col("value"), bands).alias("_b"))
+    return hit.filter(F.col("_b").isNotNull()).select(*key_cols, "metric", "value", "_b.severity", "_b.label")
 
 
 # EXP-9 / WIN-3 / SCL-14 ---------------------------------------------------------------------
@@ -176,18 +176,19 @@ def ranked_commentary(
     attr: DataFrame,
     raw: DataFrame,
     groups: Mapping[str, str],
-    display: Mapping[str, tuple[str, str]],
-    bands: DataFrame,
+    display: Mapping[str, tuple[str | Sequence[str], str]],
+    bands: Sequence[tuple],
     flag_groups: Mapping[str, str],
     top: int = 5,
     id_col: str = "row_id",
+    flag_severity: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Per row: group features by prefix (representative = max |c| member), rank groups by |c|, attach the
     banded wording of the group's display value; flag groups are reported only when the flag is 1;
     groups with no value are skipped; the first ``top`` lines are kept.
 
-    groups: feature prefix -> group name; display: group -> (raw column, band metric);
-    flag_groups: flag column -> display text."""
+    groups: feature prefix -> group name; display: group -> (raw column or columns, the first with a value counts;
+    band metric); flag_groups: flag column -> display text; flag_severity: flag column -> severity (3 where absent)."""
     grp = None
     for prefix, name in groups.items():
         c = F.col("feature").startswith(prefix)
@@ -198,25 +199,27 @@ def ranked_commentary(
     w_rep = Window.partitionBy(id_col, "grp").orderBy(F.abs("contribution").desc(), "feature")
     rep = g.withColumn("_r", F.row_number().over(w_rep)).filter(F.col("_r") == 1).select(id_col, "grp", "feature", "contribution")
 
-    # display values: one tall row per (row, group)
-    disp_cells = [
-        F.struct(F.lit(name).alias("grp"), F.lit(metric).alias("metric"), F.col(col).cast("double").alias("value"))
-        for name, (col, metric) in display.items()
-    ] + [
-        F.struct(F.lit(flag).alias("grp"), F.lit(flag).alias("metric"), F.col(flag).cast("double").alias("value"))
-        for flag in flag_groups
-    ]
-    disp = raw.select(id_col, F.inline(F.array(*disp_cells)))
-    banded = apply_bands(disp.filter(~F.col("grp").isin(*flag_groups)), bands, [id_col, "grp"])
-    flags = disp.filter(F.col("grp").isin(*flag_groups) & (F.col("value") == 1))
-    flag_text = None
-    for flag, text in flag_groups.items():
-        flag_text = F.when(F.col("grp") == flag, F.lit(text)) if flag_text is None else flag_text.when(F.col("grp") == flag, F.lit(text))
-    flags = flags.select(id_col, "grp", "metric", "value", F.lit(3).alias("severity"), flag_text.alias("label"))
-    lines = banded.unionByName(flags)
-    j = rep.join(lines, [id_col, "grp"])  # groups without a value or with flag 0 drop out here
+    def pick(choices: Mapping[str, Column]) -> Column:
+        out = F.lit(None)
+        for name, c in choices.items():
+            out = F.when(F.col("grp") == F.lit(name), c).otherwise(out)
+        return out
+
+    first = lambda cols: F.coalesce(*[F.col(f"_raw.{c}").cast("double") for c in ([cols] if isinstance(cols, str) else cols)])
+    shown = {name: first(cols) for name, (cols, _) in display.items()} | {flag: first(flag) for flag in flag_groups}
+    is_flag = F.col("grp").isin(*flag_groups)
+    needed = sorted({c for cols, _ in display.values() for c in ([cols] if isinstance(cols, str) else cols)} | set(flag_groups))
+    j = rep.join(raw.select(id_col, F.struct(*needed).alias("_raw")), id_col)
+    j = j.select(id_col, "grp", "feature", "contribution", pick(shown).alias("display_value"),
+                 pick({name: F.lit(metric) for name, (_, metric) in display.items()}).alias("_metric"))
+    j = j.withColumn("_b", band(F.col("_metric"), F.col("display_value"), bands))
+    # groups without a value and flags that are not set drop out here
+    j = j.filter(F.when(is_flag, F.col("display_value") == 1).otherwise(F.col("_b").isNotNull()))
+    severity = pick({flag: F.lit((flag_severity or {}).get(flag, 3)) for flag in flag_groups})
     w = Window.partitionBy(id_col).orderBy(F.abs("contribution").desc(), "grp")
     return j.select(
-        id_col, "grp", "feature", "contribution", F.col("value").alias("display_value"), "severity", "label",
+        id_col, "grp", "feature", "contribution", "display_value",
+        F.when(is_flag, severity).otherwise(F.col("_b.severity")).cast("int").alias("severity"),
+        F.when(is_flag, pick({f: F.lit(text) for f, text in flag_groups.items()})).otherwise(F.col("_b.label")).alias("label"),
         F.row_number().over(w).cast("bigint").alias("rank"),
     ).filter(F.col("rank") <= top)

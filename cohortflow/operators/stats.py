@@ -132,23 +132,18 @@ def chi_square_counts(obs: DataFrame, label_col: str = "label") -> DataFrame:
     # dense table: each observed (feature, value) row is expanded to the observed classes (<= #classes values,
     # read once as a literal list), so absent cells count as zeros
     classes = sorted(r[0] for r in obs.select(label_col).distinct().collect())
-    present = obs.groupBy("feature", label_col).agg(F.lit(True).alias("_seen"))
     values = obs.select("feature", "value").distinct()
+    n_values = values.groupBy("feature").agg(F.count(F.lit(1)).alias("r"))
+    w_feature = Window.partitionBy("feature")  # <= #classes rows
+    per_class = obs.groupBy("feature", label_col).agg(F.sum("o").cast("double").alias("_in_class")).withColumns(
+        {"_all": F.sum("_in_class").over(w_feature), "c": F.count(F.lit(1)).over(w_feature)}
+    ).join(n_values, "feature")  # one row per feature and class
     grid = values.withColumn(label_col, F.explode(F.array(*[F.lit(c) for c in classes]))).join(
-        present, ["feature", label_col]
-    ).drop("_seen")
+        F.broadcast(per_class), ["feature", label_col]
+    )
     dense = grid.join(obs, ["feature", "value", label_col], "left").withColumn("o", F.coalesce("o", F.lit(0)).cast("double"))
-    w_row = Window.partitionBy("feature", "value")
-    w_col = Window.partitionBy("feature", label_col)
-    w_all = Window.partitionBy("feature")
-    e = F.sum("o").over(w_row) * F.sum("o").over(w_col) / F.sum("o").over(w_all)
-    cells = dense.withColumns(
-        {
-            "e": e,
-            "r": F.size(F.collect_set("value").over(w_all)),
-            "c": F.size(F.collect_set(label_col).over(w_all)),
-        }
-    ).withColumn("dof", (F.col("r") - 1) * (F.col("c") - 1))
+    e = F.sum("o").over(Window.partitionBy("feature", "value")) * F.col("_in_class") / F.col("_all")
+    cells = dense.withColumn("e", e).withColumn("dof", ((F.col("r") - 1) * (F.col("c") - 1)).cast("int"))
     diff = F.col("e") - F.col("o")
     yates = F.col("o") + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))
     o_adj = F.when(F.col("dof") == 1, yates).otherwise(F.col("o"))

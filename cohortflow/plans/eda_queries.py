@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import recode
 from cohortflow.operators import eda, visits
-from cohortflow.plans.cohort_queries import RULES, _parsed, _windowed, entity_features, q_code_flags
+from cohortflow.plans.cohort_queries import RULES, _parsed, entity_features, q_code_flags
 from cohortflow.plans.common import round_doubles
 from cohortflow.session import materialized
 from cohortflow.sources import fixtures as FX
 
 CATEGORICAL = ["flag_urgent", "segment"]
 FREQ_COLS = ["segment", "flag_urgent", "label"]
-KDE_FEATURES = ["balance", "qty_mean", "price_max"]
+KDE_FEATURES = FX.B_CONTINUOUS
 CORR_COLS = FX.B_CONTINUOUS + ["zero_var"]
 MISSING_COLS = FX.B_CONTINUOUS + ["flag_urgent", "segment"]
 FLAG_COLS = [*RULES.flags.keys(), "target"]
@@ -95,7 +95,7 @@ def q_present_filter(spark, sf_dir):
 
 
 def visit_table(spark, sf_dir):
-    return materialized(spark, f"visits:{sf_dir}", lambda: visits.visit_wide(_windowed(spark, sf_dir), FX.PANELS))
+    return materialized(spark, f"visits:{sf_dir}", lambda: visits.visit_wide(_parsed(spark, sf_dir), FX.PANELS))
 
 
 def q_visit_wide(spark, sf_dir):

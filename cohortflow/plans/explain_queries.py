@@ -16,6 +16,8 @@ BINARY_LABELS = {"flag_urgent": ("no urgent finished order", "has an urgent fini
 GROUPS = {"qty": "quantity", "price": "price", "disc": "discount", "balance": "balance"}
 DISPLAY = {"quantity": ("qty_mean", "qty"), "price": ("price_mean", "price"), "discount": ("disc_mean", "disc"), "balance": ("balance", "balance")}
 FLAG_GROUPS = {"flag_urgent": "urgent finished orders on record"}
+# stands for the condition that ranks one step below the others
+FLAG_SEVERITY = {"flag_urgent": 2}
 
 # Fixture band table for the commentary (metric, op, threshold, severity, label).
 FIXTURE_BANDS = [
@@ -42,7 +44,6 @@ CLINICAL_BANDS = [
 ]
 # fixture A panels standing in for the clinical metrics
 BAND_METRICS = {"ldl": "view_last", "hdl": "click_min", "triglyceride": "purchase_min", "age": "age"}
-BAND_SCHEMA = "metric string, op string, threshold double, severity int, label string"
 
 
 def attr_table(spark, sf_dir):
@@ -90,17 +91,16 @@ def q_group_attr(spark, sf_dir):
 
 
 def q_ranked_reasons(spark, sf_dir):
-    bands = spark.createDataFrame(FIXTURE_BANDS, BAND_SCHEMA)
-    out = X.ranked_commentary(attr_table(spark, sf_dir), b_table(spark, sf_dir), GROUPS, DISPLAY, bands, FLAG_GROUPS, 5)
+    out = X.ranked_commentary(attr_table(spark, sf_dir), b_table(spark, sf_dir), GROUPS, DISPLAY, FIXTURE_BANDS, FLAG_GROUPS, 5,
+                              flag_severity=FLAG_SEVERITY)
     return round_doubles(out)
 
 
 def q_value_bands(spark, sf_dir):
     c = cohort(spark, sf_dir)
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(col).cast("double").alias("value")) for m, col in BAND_METRICS.items()])
-    values = c.select("patient_name", F.inline(cells))
-    bands = spark.createDataFrame(CLINICAL_BANDS, BAND_SCHEMA)
-    return round_doubles(X.apply_bands(values, bands, ["patient_name"]))
+    values = c.select(*FX.PATIENT_KEYS, F.inline(cells))
+    return round_doubles(X.apply_bands(values, CLINICAL_BANDS, FX.PATIENT_KEYS))
 
 
 QUERIES = {

@@ -184,7 +184,7 @@ PRESENT = with_lab("features") + rounded_sql(
 _VKEYS = f"{KEYS}, visit_date"
 _VJOIN = " AND ".join(f"v.{k} IS NOT DISTINCT FROM {{a}}.{k}" for k in [*FX.PATIENT_KEYS, "visit_date"])
 VISIT_PARTS = {
-    "vt": "SELECT *, CAST(performed_at AS DATE) AS visit_date FROM lab_win",
+    "vt": "SELECT *, CAST(performed_at AS DATE) AS visit_date FROM lab_parsed",
     "vcodes": f"""SELECT {_VKEYS}, kind, code, min(row_id) AS first FROM (
                     SELECT {_VKEYS}, row_id, 'icd_inpatient' AS kind, trim(icd_inpatient) AS code FROM vt
                     UNION ALL SELECT {_VKEYS}, row_id, 'icd_outpatient', trim(icd_outpatient) FROM vt) x
@@ -200,7 +200,7 @@ VISIT_PARTS = {
 
 
 def with_visits(**extra: str) -> str:
-    head = with_lab("lab_win")[:-1]
+    head = with_lab("lab_parsed")[:-1]
     parts = dict(VISIT_PARTS)
     parts.update(extra)
     return head + ",\n" + ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in parts.items()) + "\n"

@@ -127,7 +127,7 @@ ORACLE = {
     "champion": with_scored(**METRICS, **AUC)
     + rounded_sql(
         """SELECT model, accuracy, precision, recall, f1, auc, brier, rank, rank = 1 AS is_champion FROM (
-             SELECT b.*, a.auc, row_number() OVER (ORDER BY f1 DESC, auc DESC, recall DESC, model) AS rank
+             SELECT b.*, a.auc, row_number() OVER (ORDER BY floor(f1 * 1e4::double + 0.5) DESC, floor(auc * 1e4::double + 0.5) DESC, floor(recall * 1e4::double + 0.5) DESC, model) AS rank
              FROM bm b JOIN auc a USING (model)) r""",
         ["accuracy", "precision", "recall", "f1", "auc", "brier"],
     ),

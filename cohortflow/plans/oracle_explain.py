@@ -13,7 +13,7 @@ from cohortflow.plans.explain_queries import (
     GROUPS,
     INTERCEPT,
 )
-from cohortflow.plans.oracle_cohort import with_lab
+from cohortflow.plans.oracle_cohort import KEYS, with_lab
 from cohortflow.operators.explain import Z_BANDS, Z_FLOOR_LABEL
 from cohortflow.sources import fixtures as FX
 
@@ -69,10 +69,10 @@ def _bands_sql(rows) -> str:
 
 def _apply_bands(values: str, bands: str, keys: str) -> str:
     return f"""SELECT {keys}, metric, value, max(severity) AS severity, arg_max(label, severity) AS label
-               FROM {values} v JOIN {bands} b USING (metric)
+               FROM (SELECT *, row_number() OVER () AS line FROM {values} x) v JOIN {bands} b USING (metric)
                WHERE value IS NOT NULL AND ((op = '>' AND value > threshold) OR (op = '<' AND value < threshold)
                      OR (op = '>=' AND value >= threshold) OR op = 'else')
-               GROUP BY {keys}, metric, value"""
+               GROUP BY {keys}, metric, value, line"""
 
 
 _GRP = (
@@ -95,10 +95,10 @@ COMMENT["banded"] = _apply_bands(
     f"(SELECT * FROM disp WHERE grp NOT IN ({', '.join(repr(f) for f in FLAG_GROUPS)}))", "bands", "row_id, grp"
 )
 COMMENT["lines"] = f"""SELECT * FROM banded UNION ALL
-    SELECT row_id, grp, metric, value, 3 AS severity, {_FLAG_TEXT} AS label FROM disp
+    SELECT row_id, grp, metric, value, 2 AS severity, {_FLAG_TEXT} AS label FROM disp
     WHERE grp IN ({', '.join(repr(f) for f in FLAG_GROUPS)}) AND value = 1"""
 
-_BAND_VALUES = "\nUNION ALL\n".join(f"SELECT patient_name, '{m}' AS metric, CAST({c} AS DOUBLE) AS value FROM cohort" for m, c in BAND_METRICS.items())
+_BAND_VALUES = "\nUNION ALL\n".join(f"SELECT {KEYS}, '{m}' AS metric, CAST({c} AS DOUBLE) AS value FROM cohort" for m, c in BAND_METRICS.items())
 
 ORACLE = {
     "attr_linear": FX.cte(**ATTR) + rounded_sql("SELECT * FROM attr", ["value", "z", "contribution"]),
@@ -163,5 +163,5 @@ ORACLE = {
     ),
     "value_bands": with_lab("cohort")[:-1]
     + f",\nbv AS MATERIALIZED ({_BAND_VALUES}),\ncb AS MATERIALIZED ({_bands_sql(CLINICAL_BANDS)})\n"
-    + rounded_sql(_apply_bands("bv", "cb", "patient_name"), ["value"]),
+    + rounded_sql(_apply_bands("bv", "cb", KEYS), ["value"]),
 }

@@ -21,8 +21,8 @@ RY = FX.FIXTURE_RULES.reference_year
 LABS = list(STORE_LABS)
 
 
-def _sid(text: str) -> str:
-    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+def _sid(*cols: str) -> str:
+    return "md5(concat_ws('|', " + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '<null>')" for c in cols) + "))"
 
 
 def _base() -> dict[str, str]:
@@ -33,24 +33,25 @@ def _base() -> dict[str, str]:
                               CAST(trunc({RY} - TRY_CAST(v.birth_year AS DOUBLE)) AS INTEGER) AS age,
                               {", ".join(f"v.{p} AS {lab}" for lab, p in STORE_LABS.items())},
                               {", ".join(f"cf.{f}" for f in STORE_FLAGS)}
-                       FROM visits v JOIN cf USING ({KEYS})"""
+                       FROM visits v LEFT JOIN cf ON {" AND ".join(f"v.{k} IS NOT DISTINCT FROM cf.{k}" for k in FX.PATIENT_KEYS)}"""
     return parts
 
 
 def _load(prefix: str, where: str, at: str) -> dict[str, str]:
     ts = f"TIMESTAMP '{at}'"
     return {
-        f"{prefix}_s": f"SELECT * FROM src WHERE {' AND '.join(f'{c} IS NOT NULL' for c in LABS)} AND ({where})",
+        f"{prefix}_s": f"""SELECT * REPLACE (COALESCE(visit_date, DATE '1970-01-01') AS visit_date) FROM src
+                             WHERE admission_no IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in LABS)} AND ({where})""",
         f"{prefix}_first": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY admission_no
                                    ORDER BY patient_name, admission_no, birth_year, sex, visit_date) AS rn FROM {prefix}_s) x WHERE rn = 1""",
-        f"{prefix}_p": f"""SELECT {_sid('CAST(admission_no AS VARCHAR)')} AS id, CAST(admission_no AS VARCHAR) AS patient_code,
+        f"{prefix}_p": f"""SELECT {_sid('admission_no')} AS id, CAST(admission_no AS VARCHAR) AS patient_code,
                                   COALESCE(patient_name, '') AS name, COALESCE(CAST({RY} - age AS INTEGER), 1900) AS birth_year,
                                   CASE WHEN lower(trim(sex)) = 'nam' THEN 1 WHEN lower(trim(sex)) = 'nữ' THEN 0 ELSE 1 END AS gender,
                                   {", ".join(f"COALESCE(CAST({f} AS INTEGER), 0) AS {f}" for f in STORE_FLAGS)},
                                   {ts} AS created_at, {ts} AS updated_at
                            FROM {prefix}_first""",
-        f"{prefix}_v": f"""SELECT {_sid("concat_ws('|', CAST(s.admission_no AS VARCHAR), COALESCE(strftime(s.visit_date, '%Y-%m-%d'), '1970-01-01'))")} AS visit_id,
-                                  p.id AS patient_id, COALESCE(s.visit_date, DATE '1970-01-01') AS visit_date,
+        f"{prefix}_v": f"""SELECT {_sid(*(f"s.{c}" for c in ("patient_name", "admission_no", "birth_year", "sex")), "strftime(s.visit_date, '%Y-%m-%d')")} AS visit_id,
+                                  p.id AS patient_id, s.visit_date,
                                   {", ".join(f"CAST(s.{c} AS DOUBLE) AS {c}" for c in LABS)},
                                   NULL::double AS prediction_prob, {ts} AS created_at
                            FROM {prefix}_s s JOIN {prefix}_p p ON CAST(s.admission_no AS VARCHAR) = p.patient_code""",
@@ -85,7 +86,7 @@ def _with(*dicts: dict[str, str], **extra: str) -> str:
 
 
 ALL = _load("all", "true", LOADED_AT)
-EX = _load("ex", f"visit_date < DATE '{CUTOFF}'", LOADED_AT)
+EX = _load("ex", f"visit_date IS NULL OR visit_date < DATE '{CUTOFF}'", LOADED_AT)
 NW = _load("nw", f"visit_date >= DATE '{CUTOFF}'", BATCH_AT)
 
 UPSERT = {
@@ -145,7 +146,8 @@ _PCT = "printf('%.1f%%', floor(prediction_prob * 100.0::double * 10.0::double +
 def _checks_store() -> str:
     rows = [
         "SELECT 'duplicate patient_code' AS \"check\", CAST(COALESCE(sum(CASE WHEN n > 1 THEN n - 1 END), 0) AS BIGINT) AS n_violations "
-        "FROM (SELECT patient_code, count(*) AS n FROM all_p GROUP BY 1) d"
+        "FROM (SELECT patient_code, count(*) AS n FROM all_p GROUP BY 1) d",
+        "SELECT 'duplicate visit_id', count(*) - count(DISTINCT visit_id) FROM all_v",
     ]
     rows += [f"SELECT 'null patients.{c}', CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) FROM all_p" for c in ("patient_code", "name", "birth_year", "gender")]
     rows += [f"SELECT 'null visits.{c}', CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) FROM all_v" for c in ("patient_id", "visit_date", *LABS)]
@@ -161,7 +163,7 @@ def _checks_raw() -> str:
     rows += [f"SELECT 'null visits.{c}', CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) FROM src" for c in ("visit_date", *LABS)]
     rows += [
         f"SELECT 'visits outside the cohort', count(*) FROM src s WHERE NOT EXISTS (SELECT 1 FROM cohort c "
-        f"WHERE {_sid('CAST(c.admission_no AS VARCHAR)')} = {_sid('CAST(s.admission_no AS VARCHAR)')})"
+        f"WHERE {_sid('c.admission_no')} = {_sid('s.admission_no')})"
     ]
     return "SELECT 'raw' AS \"table\", * FROM (" + " UNION ALL ".join(rows) + ") r"
 

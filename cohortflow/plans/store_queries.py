@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from cohortflow.operators import store as S
 from cohortflow.plans.cohort_queries import RULES, q_code_flags, q_cohort_select
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import visit_table
-from cohortflow.session import materialized, read_table, scratch_path
+from cohortflow.session import materialized, read_table
 from cohortflow.sources import fixtures as FX
 from cohortflow.sources.sinks import roundtrip_csv, roundtrip_parquet
 from cohortflow.streaming.features import run_feature_stream
@@ -35,7 +37,11 @@ def store_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _store_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = visit_table(spark, sf_dir)
     flags = q_code_flags(spark, sf_dir).select(*FX.PATIENT_KEYS, *STORE_FLAGS)
-    j = v.join(flags, FX.PATIENT_KEYS)
+    flags = flags.withColumnsRenamed({k: f"_{k}" for k in FX.PATIENT_KEYS})
+    same = F.lit(True)
+    for k in FX.PATIENT_KEYS:  # NULL keys meet; visits of entities without flags are kept
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    j = v.join(flags, same, "left")
     return j.select(
         *FX.PATIENT_KEYS,
         "visit_date",
@@ -52,8 +58,9 @@ def _load(src: DataFrame, at: str):
 def existing_and_incoming(spark, sf_dir):
     src = store_source(spark, sf_dir)
     cut = F.lit(CUTOFF).cast("date")
-    ex_p, ex_v = _load(src.filter(F.col("visit_date") < cut), LOADED_AT)
-    nw_p, nw_v = _load(src.filter(F.col("visit_date") >= cut), BATCH_AT)
+    later = F.coalesce(F.col("visit_date") >= cut, F.lit(False))  # visits without a date are old ones
+    ex_p, ex_v = _load(src.filter(~later), LOADED_AT)
+    nw_p, nw_v = _load(src.filter(later), BATCH_AT)
     return ex_p, ex_v, nw_p, nw_v
 
 
@@ -93,10 +100,8 @@ def _rescored(spark, sf_dir):
     feats = feats.withColumn("age", (F.lit(RULES.reference_year) - F.col("birth_year")).cast("double"))
     # fit cap / scale on each existing patient's latest feature row
     ex_f = S.expanding_features(ex_v)
-    last = S.keep_first(
-        ex_f.withColumn("_neg_date", -F.datediff("visit_date", F.lit("1970-01-01"))).withColumn("_neg_id", -F.col("visit_id")),
-        "patient_id", ["_neg_date", "_neg_id"],
-    ).join(ex_p.select(F.col("id").alias("patient_id"), "birth_year"), "patient_id")
+    latest = ex_f.groupBy("patient_id").agg(F.max_by(F.struct(*ex_f.columns), F.struct("visit_date", "visit_id")).alias("_r"))
+    last = latest.select("_r.*").join(ex_p.select(F.col("id").alias("patient_id"), "birth_year"), "patient_id")
     last = last.withColumn("age", (F.lit(RULES.reference_year) - F.col("birth_year")).cast("double")).withColumn("_l", F.lit(0))
     params = P.fit_preprocessor(last, "patient_id", "_l", SCORE_CONTINUOUS, [])
     bounds = {f: (params.lo[f], params.hi[f]) for f in SCORE_CONTINUOUS if f in params.lo}
@@ -131,10 +136,9 @@ def q_sink_roundtrip(spark, sf_dir):
 
 
 def q_stream_features(spark, sf_dir):
-    """INC-4 on a private copy of the events table written by Spark into the shared folder."""
+    """INC-4 on the given events table: the pattern finds one file as well as a folder of files."""
     events = read_table(spark, sf_dir, "events")
-    src = scratch_path(spark, "stream-source")
-    events.repartition(4).write.parquet(src)
+    src = os.path.join(sf_dir, "events.parque[t]")
 
     def derive(ev: DataFrame) -> DataFrame:
         return C.parse_measurements(FX.lab_rows_from_events(ev))

@@ -71,16 +71,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a *scan* over the cores only when it has fewer splits than cores (e.g. one row group).
-    Large inputs are returned unchanged.  Use on plain scans: asking a multi-stage adaptive plan for its
-    partition count would run its shuffle stages."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 _MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
 _OBJECTS: dict[tuple[str, str], object] = {}
 

@@ -110,3 +110,31 @@ def test_chi_square_tail_matches_closed_forms(spark):
     got = [r[0] for r in df.select(chi2_sf(F.col("x"), F.col("dof"))).collect()]
     for (_, _, want), g in zip(cases, got):
         assert g == pytest.approx(want, rel=1e-12)
+
+
+def test_tails_at_many_degrees_of_freedom(spark):
+    import math
+
+    import duckdb
+
+    from cohortflow.functions.pvalues import chi2_sf, chi2_sf_sql, student_t_two_sided, student_t_two_sided_sql
+
+    # t: the normal tail and its first correction phi(t) (t^3 + t) / (2 df); the next is of order 1 / df^2
+    def t_tail(t, d):
+        return math.erfc(t / math.sqrt(2)) + math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (t**3 + t) / (2 * d)
+
+    # chi-square with even dof: the Poisson sum
+    def chi(x, k):
+        return math.fsum(math.exp(-x / 2 + j * math.log(x / 2) - math.lgamma(j + 1)) for j in range(k // 2))
+
+    con = duckdb.connect()
+    ts = [(2.0, 1e5), (0.3, 1e5), (4.0, 1e8), (1.5, 1e8)]
+    got = [r[0] for r in spark.createDataFrame(ts, "t double, df double").select(student_t_two_sided(F.col("t"), F.col("df"))).collect()]
+    for (t, d), g in zip(ts, got):
+        assert g == pytest.approx(t_tail(t, d), abs=1e-9 if d < 1e6 else 1e-12)
+        assert con.execute(f"SELECT {student_t_two_sided_sql(f'{t}::double', f'{d}::double')}").fetchone()[0] == pytest.approx(g, abs=1e-12)
+    xs = [(5000.0, 5000), (5200.0, 5000), (4800.0, 5000), (1.2, 2000)]
+    got = [r[0] for r in spark.createDataFrame(xs, "x double, dof int").select(chi2_sf(F.col("x"), F.col("dof"))).collect()]
+    for (x, k), g in zip(xs, got):
+        assert g == pytest.approx(chi(x, k), abs=1e-10)
+        assert con.execute(f"SELECT {chi2_sf_sql(f'{x}::double', str(k))}").fetchone()[0] == pytest.approx(g, abs=1e-11)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import random
 
@@ -11,46 +12,81 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from cohortflow.operators import prep as P
-from cohortflow.operators import stats as ST
-from cohortflow.operators.prefix import running_stats
+from cohortflow.operators.prefix import prefix_sums, running_stats
 from cohortflow.operators.quantiles import quantiles_wide
 from cohortflow.operators.resample import knn_exact, smote
 
 
-@pytest.fixture
-def distributed_only(spark):
-    """Force the two-level (range-slice) path everywhere, as on a cluster with large groups."""
-    spark.conf.set("spark.cohortflow.prefix.localLimit", "0")
-    yield
-    spark.conf.unset("spark.cohortflow.prefix.localLimit")
-
-
 def _values(spark, n=400, seed=7):
     rnd = random.Random(seed)
     rows = [(g, float(rnd.randint(0, 60)), rnd.randint(0, 1)) for g in ("a", "b", "c") for _ in range(n)]
     return spark.createDataFrame(rows, "feature string, value double, label int")
 
 
-def test_two_level_quantiles_equal_window_path(spark, distributed_only):
+def test_quantiles_equal_numpy(spark):
     df = _values(spark)
-    two_level = {r["feature"]: (r["q1"], r["q3"]) for r in quantiles_wide(df, ["feature"], "value", {"q1": 0.25, "q3": 0.75}).collect()}
-    spark.conf.unset("spark.cohortflow.prefix.localLimit")
-    local = {r["feature"]: (r["q1"], r["q3"]) for r in quantiles_wide(df, ["feature"], "value", {"q1": 0.25, "q3": 0.75}).collect()}
-    assert two_level == local
+    got = {r["feature"]: (r["q1"], r["q3"]) for r in quantiles_wide(df, ["feature"], "value", {"q1": 0.25, "q3": 0.75}).collect()}
     for f in "abc":
         vals = sorted(r["value"] for r in df.filter(F.col("feature") == f).collect())
-        assert local[f][0] == pytest.approx(float(np.percentile(vals, 25)))
-
-
-def test_two_level_mann_whitney_equal_window_path(spark, distributed_only):
-    df = _values(spark)
-    a = sorted((r["feature"], r["u0"]) for r in ST.mann_whitney(df, "label").collect())
-    spark.conf.unset("spark.cohortflow.prefix.localLimit")
-    b = sorted((r["feature"], r["u0"]) for r in ST.mann_whitney(df, "label").collect())
-    assert a == b
-
-
-def test_running_stats_two_level(spark, distributed_only):
+        assert got[f] == pytest.approx((float(np.percentile(vals, 25)), float(np.percentile(vals, 75))))
+
+
+def test_running_sums_keep_null_groups_and_need_no_group(spark):
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", i, i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, t int, v long")
+    for groups in (["g"], []):
+        got = {r["t"]: r for r in prefix_sums(df, groups, ["t"], ["v"], num_partitions=7).collect()}
+        assert len(got) == 300
+        run, total = {}, {}
+        for g, _, v in rows:
+            total[g if groups else 0] = total.get(g if groups else 0, 0) + v
+        for g, t, v in rows:
+            k = g if groups else 0
+            assert got[t]["v_before"] == run.get(k, 0) and got[t]["v_total"] == total[k]
+            run[k] = run.get(k, 0) + v
+            assert got[t]["v_upto"] == run[k]
+
+
+def test_split_and_folds_keep_rows_without_a_label(spark):
+    df = spark.createDataFrame([(i, None if i < 10 else i % 2) for i in range(100)], "row_id long, label int")
+    assert P.kfold_assign(df, "row_id", "label", 5, 42).count() == 100
+    assert P.stratified_split(df, "row_id", "label", 0.2, 42).count() == 100
+
+
+def test_running_stats_of_large_values_null_groups_and_null_values(spark):
+    rnd = random.Random(5)
+    rows = [(None if i % 2 else "g", i, None if i % 11 == 0 else 1e9 + rnd.randint(0, 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "p string, t int, v double")
+    got = {r["t"]: r for r in running_stats(df, ["p"], ["t"], ["v"], num_partitions=6).collect()}
+    assert len(got) == 400
+    seen = {}
+    for p, t, v in rows:
+        hist = seen.setdefault(p, [])
+        hist += [v] if v is not None else []
+        r = got[t]
+        assert r["v_n"] == len(hist)
+        if hist:
+            assert r["v_mean"] == pytest.approx(np.mean(hist), rel=1e-15) and r["v_max"] == max(hist) and r["v_min"] == min(hist)
+        assert (r["v_std"] is None) == (len(hist) < 2)
+        if len(hist) > 1:
+            assert r["v_std"] == pytest.approx(np.std(hist, ddof=1), rel=1e-6, abs=1e-7)
+
+
+def test_vif_of_collinear_features_is_infinite(spark):
+    from cohortflow.operators.train import variance_inflation
+
+    rnd = np.random.default_rng(2)
+    a, b = rnd.normal(size=(2, 200))
+    df = spark.createDataFrame([(float(x), float(2 * x + 1), float(y), float(x + y)) for x, y in zip(a, b)], "a double, twice double, b double, both double")
+    got = {r["feature"]: r["vif"] for r in variance_inflation(df, ["a", "twice", "b"]).collect()}
+    r2 = np.corrcoef(a, b)[0, 1] ** 2
+    assert got["a"] == got["twice"] == math.inf
+    assert got["b"] == pytest.approx(1 / (1 - r2))
+    free = {r["feature"]: r["vif"] for r in variance_inflation(df, ["a", "b"]).collect()}
+    assert free["a"] == free["b"] == pytest.approx(1 / (1 - r2))
+
+
+def test_running_stats_match_numpy(spark):
     rnd = random.Random(3)
     rows = [(p, i, float(rnd.randint(1, 9))) for p in range(3) for i in range(50)]
     df = spark.createDataFrame(rows, "p int, t int, v double")
@@ -214,3 +250,61 @@ def test_stream_in_several_batches_equals_batch(spark):
     def canon(df):
         return sorted(tuple(None if v is None else (round(v, 9) if isinstance(v, float) else v) for v in r) for r in df.select(*cols).collect())
     assert canon(streamed) == canon(batch)
+
+
+def test_stream_resumes_and_compacts(spark):
+    """A second run with the same folder reads only the new file; compaction leaves the current state as it is."""
+    from cohortflow.operators import cohort as C
+    from cohortflow.session import read_table, scratch_path
+    from cohortflow.sources import fixtures as FX
+    from cohortflow.streaming.features import compact, current_state, feature_state, read_changelog, run_feature_stream
+
+    events = read_table(spark, SMALL, "events")
+    src, state = scratch_path(spark, "stream-restart-source"), scratch_path(spark, "stream-restart")
+    parts = [events.filter(F.col("event_id") % 10 != 0), events.filter(F.col("event_id") % 10 == 0)]
+    keys = ["admission_no", "panel"]
+
+    def derive(ev):
+        return C.parse_measurements(FX.lab_rows_from_events(ev))
+
+    def canon(df):
+        return sorted((tuple(None if v is None else (round(v, 9) if isinstance(v, float) else v) for v in r) for r in df.select(*sorted(df.columns)).collect()), key=str)
+
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        got = canon(run_feature_stream(spark, src, events.schema, derive, "admission_no", state_dir=state))
+        batch = feature_state(derive(spark.read.parquet(src)), *keys, "value", "performed_at", "row_id")
+        assert got == canon(batch)
+    log = read_changelog(spark, state)
+    last = log.filter(F.col("epoch") == log.agg(F.max("epoch")).first()[0])
+    assert last.select(*keys).distinct().count() == derive(parts[1]).select(*keys).distinct().count()
+    compact(spark, state, keys)
+    log = read_changelog(spark, state)
+    assert log.count() == batch.count() and canon(current_state(log, keys)) == canon(batch)
+
+
+def test_store_keeps_undated_visits_and_rejects_rows_without_a_code(spark):
+    from cohortflow.operators import store as S
+
+    rows = [
+        ("p", "1", "1980", "Nam", dt.date(2024, 1, 1), 1.0), ("q", "1", "1981", "Nu", dt.date(2024, 1, 1), 2.0),  # one code, one day
+        ("p", "2", None, None, None, 3.0), ("p", None, "1980", "Nam", dt.date(2024, 1, 1), 4.0), ("p", "3", "1980", "Nam", dt.date(2024, 1, 2), None),
+    ]
+    src = spark.createDataFrame(rows, "patient_name string, admission_no string, birth_year string, sex string, visit_date date, ldl double")
+    src = src.withColumns({"age": F.lit(40), "diabetes": F.lit(1)})
+    pat, vis = S.load_store(src, lab_cols=["ldl"], flag_cols=["diabetes"])
+    assert sorted(r["patient_code"] for r in pat.collect()) == ["1", "2"]
+    assert sorted((r["ldl"], str(r["visit_date"])) for r in vis.collect()) == [(1.0, "2024-01-01"), (2.0, "2024-01-01"), (3.0, "1970-01-01")]
+    assert vis.select("visit_id").distinct().count() == 3
+    p2, v2 = S.upsert(pat, vis, pat.union(pat), vis.union(vis), ["diabetes"])
+    assert p2.count() == 2 and v2.count() == 3
+
+
+def test_bands_keep_equal_rows(spark):
+    from cohortflow.operators.explain import apply_bands
+
+    bands = [("m", ">", 2.0, 1, "high"), ("m", ">", 5.0, 2, "very high"), ("m", "else", 0.0, 0, "normal"), ("n", "<", 1.0, 3, "low")]
+    rows = [("a", "m", 6.0), ("a", "m", 6.0), ("b", "m", 3.0), ("c", "m", 1.0), ("d", "m", None), ("e", "n", 2.0), ("f", "n", 0.5)]
+    out = apply_bands(spark.createDataFrame(rows, "k string, metric string, value double"), bands, ["k"])
+    assert sorted((r["k"], r["severity"], r["label"]) for r in out.collect()) == [
+        ("a", 2, "very high"), ("a", 2, "very high"), ("b", 1, "high"), ("c", 0, "normal"), ("f", 3, "low")]
