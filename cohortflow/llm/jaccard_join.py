@@ -180,6 +180,78 @@ def _tokens(n_words: int):
     return run
 
 
+def _whole_groups(batches):
+    """Tables of whole groups from batches in the order of their first column."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+        gid = t.column(0).to_numpy()
+        cut = int(np.searchsorted(gid, gid[-1])) if len(gid) else 0
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held = t.slice(cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in order, and the number of each row's."""
+    a = _array(column)
+    return a.flatten().to_numpy(zero_copy_only=False), np.diff(np.asarray(a.offsets))
+
+
+def _unions(batches):
+    """Rows (gid, n, tokens) by group -> (gid, token, least): each group's token union, with its smallest set's size."""
+    for t in _whole_groups(batches):
+        token, size = _flat(t.column(2))
+        row = np.repeat(np.arange(t.num_rows), size)
+        gid, n = t.column(0).to_numpy()[row], t.column(1).to_numpy()[row]
+        order = np.lexsort((token, gid))
+        gid, token, n = gid[order], token[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (token[1:] != token[:-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(gid[starts]), pa.array(token[starts]), pa.array(np.minimum.reduceat(n, starts))], ["gid", "token", "least"])
+
+
+def _prefixes(percent: int):
+    """Rows (gid, rep, n, tokens, groups) by group, members with null groups, the tokens that the group shares with
+    others in rows without rep -> (rep, home, token, n, n_met, rank): each member's tokens to look up elsewhere."""
+    def keys(t):
+        token, size = _flat(t.column("tokens"))
+        gid = np.repeat(t.column("gid").to_numpy(), size)
+        return token, size, _mix(token.view(np.uint64) + gid.view(np.uint64) * _MUL[1])
+
+    def run(batches):
+        for t in _whole_groups(batches):
+            outside = np.asarray(t.column("rep").is_null())
+            met, own = t.filter(pa.array(outside)), t.filter(pa.array(~outside))
+            if not met.num_rows or not own.num_rows:
+                continue
+            _, _, there = keys(met)
+            order = np.argsort(there)
+            there, groups = there[order], _flat(met.column("groups"))[0][order]
+            token, size, key = keys(own)
+            at = np.minimum(np.searchsorted(there, key), len(there) - 1)
+            hit = there[at] == key  # equal hashes of another token would only lengthen the prefix
+            row, token, groups = np.repeat(np.arange(own.num_rows), size)[hit], token[hit], groups[at[hit]]
+            n, n_met = own.column("n").to_numpy(), np.bincount(row, minlength=own.num_rows)
+            least = _least(n, percent)
+            first = np.where(n_met >= least, n_met - (percent * (n + least) + 99 + percent) // (100 + percent) + 1, 0)
+            order = np.lexsort((token, groups, row))
+            row, token = row[order], token[order]
+            rank = np.arange(len(row)) - (np.cumsum(n_met) - n_met)[row] + 1
+            keep = rank <= first[row]
+            row, token, rank = row[keep], token[keep], rank[keep]
+            rep, home = (_array(own.column(c)).take(pa.array(row)) for c in ("rep", "gid"))
+            yield pa.RecordBatch.from_arrays([rep, home, *[pa.array(x, pa.int64()) for x in (token, n[row], n_met[row], rank)]],
+                                             ["rep", "home", "token", "n", "n_met", "rank"])
+
+    return run
+
+
 def _open_groups(percent: int):
     """Links of one block of members, among themselves and with one chunk of queries."""
     def run(members, queries):
@@ -276,30 +348,30 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     light = sets.select("rep", "low", "n").distinct().withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.03))))
     many = light.groupBy("low", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
     grouped = stored(light.join(many, ["low", "band"]).select("rep", F.xxhash64("low", "band", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("gid")), "set-groups")
-    members = sets.dropDuplicates(["rep"]).join(grouped, "rep")
-    entries = stored(members.select("rep", "gid", "n", F.explode("tokens").alias("token")), "matrix-rows")
-    matrix = entries.groupBy("token", "gid").agg(F.min("n").alias("least"))
-    spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    members = stored(sets.dropDuplicates(["rep"]).join(grouped, "rep").select("rep", "gid", "n", "tokens"), "set-members")
+    in_groups = members.select("gid", "n", "tokens").repartition("gid").sortWithinPartitions("gid")
+    matrix = stored(in_groups.mapInArrow(_unions, "gid long, token long, least long"), "matrix")
 
     # candidates: the tokens in the fewest groups; a token of one group only has no other group to offer
-    met = entries.join(spread, "token")
-    alone = entries.groupBy("rep").agg(F.count(F.lit(1)).alias("n_all"))
-    met_n = met.groupBy("rep").agg(F.count(F.lit(1)).alias("n_met"))
-    quota = alone.join(met_n, "rep").filter(F.col("n_met") >= F.floor((F.col("n_all") * percent + 99) / 100))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("groups", "token"))
-    spare = lambda other: F.col("n_met") - F.floor((percent * (F.col("n") + other) + 99 + percent) / (100 + percent)) + 1
-    prefix = met.join(quota.select("rep", "n_met"), "rep").withColumn("rank", rank)
-    prefix = prefix.filter(F.col("rank") <= spare(F.ceil(F.col("n") * percent / 100))).select("rep", F.col("gid").alias("home"), "token", "n", "n_met", "rank")
+    spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    shared = stored(matrix.join(spread, "token"), "matrix-shared")
+    offered = shared.groupBy("gid").agg(F.collect_list(F.struct("token", "groups")).alias("_s"))  # at most a block's tokens
+    offered = offered.select("gid", F.lit(None).cast(kind).alias("rep"), F.lit(None).cast("long").alias("n"), F.col("_s.token").alias("tokens"), F.col("_s.groups").alias("groups"))
+    asking = members.select("gid", "rep", "n", "tokens", F.lit(None).cast("array<long>").alias("groups"))
+    prefix = asking.unionByName(offered).repartition("gid").sortWithinPartitions("gid") \
+        .mapInArrow(_prefixes(percent), f"rep {kind}, home long, token long, n long, n_met long, rank long")
     # of two partners the one with more shingles asks; a token counts as far as the smallest set there with it allows
+    spare = lambda other: F.col("n_met") - F.floor((percent * (F.col("n") + other) + 99 + percent) / (100 + percent)) + 1
     near = (F.col("gid") != F.col("home")) & (F.col("least") <= F.col("n")) & (F.col("rank") <= spare(F.greatest("least", F.ceil(F.col("n") * percent / 100))))
-    entry = matrix.select(F.col("token").alias("of"), "gid", "least")
+    entry = shared.select(F.col("token").alias("of"), "gid", "least")
     pairs = stored(prefix.join(entry, (F.col("token") == F.col("of")) & near).select("rep", "gid").distinct(), "set-pairs")
 
     # open: members of a block against chunks of queries
     chunks = pairs.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
     queries = pairs.join(chunks, "gid").select("rep", "gid", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")) \
-        .join(sets.dropDuplicates(["rep"]), "rep").select("gid", "chunk", "rep", "n", "tokens").toDF("to", "part", "query", "size", "set")
-    opened = members.join(chunks, "gid", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).select("gid", "chunk", "rep", "n", "tokens")
+        .join(members.select("rep", "n", "tokens"), "rep").select("gid", "chunk", "rep", "n", "tokens").toDF("to", "part", "query", "size", "set")
+    busy = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("held")).join(chunks, "gid", "left").filter("held > 1 or chunks is not null")  # the others have no one to meet
+    opened = members.join(busy, "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).select("gid", "chunk", "rep", "n", "tokens")
     links = opened.groupBy("gid", "chunk").cogroup(queries.groupBy("to", "part")).applyInPandas(_open_groups(percent), f"a {kind}, b {kind}")
     part = components(links)
 
