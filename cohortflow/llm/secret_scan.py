@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
 A scan finds candidate secrets in each text: the base kinds (assignments, access keys, hex runs), and a wider net of
-high-entropy tokens and private-key headers.  Candidates are hashed and aggregated over the corpus into the number of
+high-entropy tokens and whole private keys (hashed by their bodies).  Candidates are hashed and aggregated over the corpus into the number of
 distinct repositories and of distinct owners that hold them.  A value held by few owners and repositories looks live;
 a value copied widely is an example.  Base spans always stay; of the wider net only live-looking values are added.
 
@@ -30,7 +30,13 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is maximal, so short runs fail as a whole
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----")
+_INLINE = r"""[\x20\t"',>#*|]"""  # what quotes and comments put around lines
+_BREAK = rf"(?:{_INLINE}|\s|\\[nrt])"  # line breaks also as escapes
+#: A key's body without its END line: the headers of encrypted keys, long lines, a short last line.
+PEM_RUN = re.compile(rf"""(?:{_BREAK}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:{_BREAK}*[A-Za-z0-9+/_=-]{{20,}})*"""
+                     rf"""(?:{_INLINE}*(?:[\r\n]|\\[nr]){_BREAK}*[A-Za-z0-9+/_-]+={{0,2}}(?=\x20*(?:[\r\n\\"']|\Z)))?""")
+PEM_SPACE = re.compile(r"\s|\\[nrt]")
 
 
 def entropy(value: str) -> float:
@@ -39,13 +45,26 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def private_keys(text: str) -> list[tuple]:
+    """("pem", start, end, body without white space) of each private key: up to its END line, or else its base64 run."""
+    keys = []
+    for m in PEM.finditer(text):
+        other = text.find("-----BEGIN ", m.end())
+        other = len(text) if other < 0 else other
+        last = f"-----END {m[1]}-----"
+        stop = text.find(last, m.end(), other)
+        end = PEM_RUN.match(text, m.end(), other).end() if stop < 0 else stop + len(last)
+        keys.append(("pem", m.start(), end, PEM_SPACE.sub("", text[m.end() : end if stop < 0 else stop])))
+    return keys
+
+
 def find(text: str, least_entropy: float = 3.5) -> tuple[list[tuple], list[tuple]]:
     """(kind, start, end, value) of the base kinds, and of the wider net outside of them."""
     base = [("assign", m.start(), m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 12] if "=" in text or ":" in text else []
     base += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     base.sort(key=lambda s: (s[1], BASE_KINDS.index(s[0])))
-    wide = [("pem", m.start(), m.end(), text[m.end() : m.end() + 64]) for m in PEM.finditer(text)]
+    wide = private_keys(text)
     for m in TOKEN.finditer(text):
         v = m[0]
         mixed = any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -351,6 +353,32 @@ def test_ownership_separates_examples(spark):
     assert found[0] == [] and found[100] == [("token", 5, 5 + len(value))] and found[101][0][0] == "pem"
 
 
+def openssh_key(seed):
+    """An unencrypted key as OpenSSH writes it: the same 47 bytes at the start of each, a short last line."""
+    rnd, field = random.Random(seed), lambda b: len(b).to_bytes(4, "big") + b
+    public = field(b"ssh-ed25519") + field(rnd.randbytes(32))
+    body = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(public) + field(rnd.randbytes(8) + public + field(rnd.randbytes(64)) + field(b"me"))
+    lines = base64.encodebytes(body).decode().replace("\n", "")
+    return "-----BEGIN OPENSSH PRIVATE KEY-----\n" + "\n".join(lines[i : i + 70] for i in range(0, len(lines), 70)) + "\n-----END OPENSSH PRIVATE KEY-----"
+
+
+def test_private_keys_are_known_by_their_whole_body(spark):
+    keys = [openssh_key(i) for i in range(8)]
+    assert len({k[:99] for k in keys}) == 1 and len(set(keys)) == 8
+    rows = [(i, f"é mine:\n{k}\nend", f"s{i}") for i, k in enumerate(keys[:6])]
+    rows += [(10 + i, f"an example: {keys[6]}", f"s{i}") for i in range(6)]  # copied widely
+    cut, flat = keys[7].rsplit("\n", 1)[0], openssh_key(9).replace("\n", "\\n")
+    rows += [(20, cut, "s0"), (21, cut + "\nand more prose", "s0"), (22, f'{{"key": "{flat}"}}', "s1"), (23, "see -----BEGIN RSA PRIVATE KEY----- in a file", "s2")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: [(s.kind, s.start, s.end, s.live) for s in r.spans] for r in secret_scan.find_secrets(df).collect()}
+    assert all(found[i] == [("pem", 8, 8 + len(keys[i]), True)] for i in range(6))
+    assert all(found[10 + i] == [] for i in range(6))
+    assert found[20] == found[21] == [("pem", 0, len(cut), True)] and found[22] == [("pem", 9, 9 + len(flat), True)]
+    assert found[23] == [("pem", 4, 35, True)]
+    out = {r.doc_id: r.text for r in secret_scan.without_live(df.withColumn("n_chars", F.char_length("text"))).collect()}
+    assert out[0] == "é mine:\n[SECRET]\nend" and out[21] == "[SECRET]\nand more prose" and out[10] == rows[6][1]
+
+
 def test_redaction_takes_effect(odd, none):
     out = {r.doc_id: r for r in secret_scan.without_live(odd).collect()}
     assert out[None].text.startswith('[SECRET]" and [SECRET] é') and out[None].n_chars == len(out[None].text) and out[1].text == ODD[0][1]
