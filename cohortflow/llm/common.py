@@ -25,7 +25,11 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
     It cuts the lineage like a checkpoint, survives lost executors, and is columnar and compressed.  The shuffle files
     of the write are let go when it ends; nothing reads them again."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    return _written(df, scratch_path(df.sparkSession, name), *partition_by)
+
+
+def _written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -35,6 +39,38 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one run, in one folder; a table no longer needed is dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, scratch_path(spark, name), {}
+
+    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        out = _written(df, path, *partition_by)
+        self.paths[id(out)] = (out, path)  # holds the frame, so that its id stays its own
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the files of a table that this run has written; other tables are left alone."""
+        _, path = self.paths.pop(id(df), (None, None))
+        if path:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def text_slices(sizes: list[int], most: int = 4 << 20):
+    """(start, end) of runs of texts of about `most` bytes; a longer text is a run of its own."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

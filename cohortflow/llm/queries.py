@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortflow.llm import chat, fingerprint, jaccard_join, mixing, packing, quality, secret_scan, sharding, suffix_dedup, warc
+from cohortflow.llm import (chat, collocations, fingerprint, jaccard_join, language, mixing, packing, quality, resampling, secret_scan, sharding,
+                            suffix_dedup, warc)
 from cohortflow.llm.common import table
 
 
@@ -78,8 +79,26 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", *quality.STATS[:5], "base_failed", "kept")
 
 
+def op11_dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op12_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document, learnt from two thirds of them."""
+    p = language.predict(table(spark, sf_dir, "documents"))
+    shares = F.array_join(F.transform("langs", lambda x: F.concat_ws(":", x.lang, F.format_string("%.4f", x.share))), ",")
+    return p.select("doc_id", "held_out", "lang_pred", "score", shares.alias("mixture"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn to resemble the benchmark texts."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quartile_digest, op3_token_group_join, op4_kd_sharding, op5_sum_of_squares_packing,
-                                   op6_warc_archive, op7_deep_shallow_dedup, op8_secret_ownership, op9_entropy_mix, op10_decision_list)}
+                                   op6_warc_archive, op7_deep_shallow_dedup, op8_secret_ownership, op9_entropy_mix, op10_decision_list,
+                                   op11_dynamic_collocations, op12_mixture_language, op13_importance_resample)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _ESC = r"replace(replace(replace({}, '\', '\b'), '<', '\l'), '#', '\h')"
@@ -99,4 +118,49 @@ WITH t AS (
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
        chars::BIGINT AS formatted_chars FROM g""",
+    "op11_dynamic_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, range(1, 6) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL),
+words AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS p, array_to_string(w[cut + 1:], ' ') AS q FROM c, range(1, 5) t(cut) WHERE cut < k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p JOIN f y ON y.lang = cuts.lang AND y.phrase = q JOIN words ON words.lang = cuts.lang
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_runs AS (
+  SELECT lang, a, unnest(flatten([[array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, len(w) - s + 2)] FOR s IN range(2, len(w))])) AS phrase FROM c WHERE k > 2
+), over_ AS (SELECT lang, phrase, max(a) AS over_a FROM inner_runs GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN over_ ON over_.lang = lowest.lang AND over_.phrase = lowest.phrase WHERE over_a IS NULL OR over_a < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+QUALIFY rank <= 2000""",
+    "op13_importance_resample": r"""
+WITH tab AS (SELECT list(list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tab
+  FROM (SELECT range AS b FROM range(0, 256))),
+texts AS (SELECT 0 AS part, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+found AS (SELECT part, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+words AS (SELECT part, doc_id, unnest(ws) AS w FROM found),
+bytes AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+buckets AS (
+  SELECT w, xor(list_reduce([('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, len(h) // 2)],
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, tab
+), counts AS (
+  SELECT g.range AS bucket, count(*) FILTER (WHERE part = 0) AS s, count(*) FILTER (WHERE part = 1) AS t
+  FROM range(0, 10000) g LEFT JOIN (SELECT part, bucket FROM words JOIN buckets USING (w)) x ON x.bucket = g.range GROUP BY ALL
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), sums AS (SELECT doc_id, sum(gain)::BIGINT AS g FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE part = 0 GROUP BY doc_id),
+scored AS (
+  SELECT found.doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE (g - ((g % len(ws)) + len(ws)) % len(ws)) // len(ws) END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || found.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS luck
+  FROM found LEFT JOIN sums USING (doc_id) WHERE part = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + luck DESC, doc_id) AS pos, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, weight + luck AS score, CASE WHEN n_features >= 20 AND pos <= 10 * n // 100 THEN pos END AS rank FROM ranked""",
 }
