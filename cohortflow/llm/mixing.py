@@ -61,11 +61,11 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("size") == 0, F.lit(UNIT)).otherwise(F.round(capped * F.lit(UNIT))).cast("long")
 
 
-def balance(hist: DataFrame, sources: DataFrame, cap: float, steps: int = 60, tol: float = 1e-7) -> DataFrame:
+def balance(hist: DataFrame, sources: DataFrame, cap: float, steps: int = 60, tol: float = 1e-7, most_err: float = 1e-3) -> DataFrame:
     """Newton steps on the dual: (idx, lam, full, mean, ...) per source.  hist: (idx, size, n), one row a pair."""
     s = sources.withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)))
     s = s.withColumn("full", F.col("target") >= F.col("source_size") * F.lit(cap * (1 - 1e-12)))
-    s = s.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-60.0)).withColumn("hi", F.lit(60.0)).withColumn("err", F.lit(1.0))
+    s = s.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-1e4)).withColumn("hi", F.lit(1e4)).withColumn("err", F.lit(1.0))
     state = stored(s.drop("source"), "mix-state")
     big = lambda c: c.cast("decimal(19,0)")
     for _ in range(steps):
@@ -83,8 +83,11 @@ def balance(hist: DataFrame, sources: DataFrame, cap: float, steps: int = 60, to
         err = F.when(done, F.lit(0.0)).otherwise(F.abs(F.col("gap")) / F.greatest(F.col("target"), F.lit(1.0)))
         nxt = nxt.withColumn("err", err).withColumn("lam", F.when(F.col("err") <= tol, F.col("lam")).otherwise(safe))
         state = stored(nxt.select(*state.columns), "mix-state")
-        if (state.agg(F.max("err")).first()[0] or 0.0) <= tol:
-            break
+        far = state.agg(F.max("err")).first()[0] or 0.0
+        if far <= tol:
+            return state
+    if far > most_err:  # within it, the remainder is what rates in whole units leave
+        raise RuntimeError(f"mixing: a target is missed by {far:.2g} after {steps} Newton steps")
     return state
 
 

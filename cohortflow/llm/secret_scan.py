@@ -2,13 +2,15 @@
 
 A scan finds candidate secrets in each text: the base kinds (assignments, access keys, hex runs), and a wider net of
 high-entropy tokens and whole private keys (hashed by their bodies).  Candidates are hashed and aggregated over the corpus into the number of
-distinct repositories and of distinct owners that hold them.  A value held by few owners and repositories looks live;
-a value copied widely is an example.  Base spans always stay; of the wider net only live-looking values are added.
+distinct repositories (different texts, or the values of a column) and of distinct owners that hold them.  A text that
+several owners hold is a copy and counts for the least of them alone, so copying a document makes no example of its
+secrets.  A value of few owners looks live, however many of their documents hold it; a value that different texts of
+more owners hold is an example.  Base spans always stay; of the wider net only live-looking values are added.
 
 The texts are read once and not shuffled: only spans and hashes move, values never leave the scan in the clear.
 
 Edge cases: a null text is empty; positions are code points, ends exclusive; a value twice in a document counts once
-for its document; a null owner or repository is one of its own; repeated rows are scanned each; extra columns are
+for its document; rows with a null owner are together one owner, those with a null repository one repository; repeated rows are scanned each; extra columns are
 ignored; an empty table gives an empty result; texts are scanned whole.
 """
 
@@ -86,28 +88,34 @@ def _scan(batches):
                                          ["doc_id", "k_hash", "owner", "repo", "base", "wide"])
 
 
-def scan(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, owner_col: str, repo_col: str | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, k_hash, owner, repo, base, wide) per document."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k_hash"), F.col(owner_col).cast("string").alias("owner"),
-                       F.col(repo_col).cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                       (F.col(repo_col) if repo_col else F.xxhash64(text_col)).cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return slim.mapInArrow(_scan, f"doc_id {dict(slim.dtypes)['doc_id']}, k_hash long, owner string, repo string, base {_SPANS}, wide {_SPANS}")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_repos, n_owners): distinct repositories and owners holding a candidate.  Combined before each shuffle."""
-    c = found.select(F.explode(F.array_distinct(F.concat("base.hash", "wide.hash"))).alias("hash"), F.coalesce("owner", F.lit("null:")).alias("owner"), F.coalesce("repo", F.lit("null:")).alias("repo"))
-    by_owner = c.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    """(hash, n_repos, n_owners): distinct repositories, and distinct owners of different texts, that hold a candidate.
 
+    Copies of a text become one row a candidate before owners are counted; each step is combined before its shuffle."""
+    c = found.select(F.explode(F.array_distinct(F.concat("base.hash", "wide.hash"))).alias("hash"), "k_hash", F.coalesce("owner", F.lit("null:")).alias("owner"),
+                     F.coalesce("repo", F.lit("null:")).alias("repo"))
+    texts = c.groupBy("hash", "repo", "k_hash").agg(F.min("owner").alias("owner"))
+    owners = texts.groupBy("hash", "k_hash").agg(F.min("owner").alias("owner")).select("hash", "owner").distinct().groupBy("hash").agg(F.count("owner").alias("n_owners"))
+    repos = texts.select("hash", "repo").distinct().groupBy("hash").agg(F.count("repo").alias("n_repos"))
+    return repos.join(owners, "hash")
 
-def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text",
-                 most_owners: int = 2, most_repos: int = 20) -> DataFrame:
+
+def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+                 most_owners: int = 2) -> DataFrame:
     """Per document: doc_id, k_hash, base (spans), spans (base and added, with `live`), both ordered by start, kind.
 
-    A candidate is live when at most `most_owners` owners and `most_repos` repositories hold it."""
+    A candidate is live when different texts of at most `most_owners` owners hold it; without `repo_col` each different
+    text is a repository."""
     found = stored(scan(docs, owner_col, repo_col, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "secret-scan")
     has = found.filter((F.size("base") > 0) | (F.size("wide") > 0))
-    live = ownership(found).withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
+    live = ownership(has).withColumn("live", F.col("n_owners") <= most_owners)
     rows = has.select("rid", F.explode(F.concat(F.transform("base", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), s.hash.alias("hash"), F.lit(True).alias("is_base"))),
                                                 F.transform("wide", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), s.hash.alias("hash"), F.lit(False).alias("is_base"))))).alias("s"))
     judged = rows.withColumn("hash", F.col("s.hash")).join(live, "hash").filter(F.col("s.is_base") | F.col("live"))
@@ -134,7 +142,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda a: F.concat(a.out, text.substr(a["at"] + 1, F.char_length(text))))
 
 
-def without_live(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def without_live(docs: DataFrame, owner_col: str = "source", repo_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """All rows and columns, live secrets replaced in the texts (and the length column, if there is one, set anew).
 
     Only the spans of documents that hold live secrets are joined back."""
