@@ -308,3 +308,38 @@ def test_bands_keep_equal_rows(spark):
     out = apply_bands(spark.createDataFrame(rows, "k string, metric string, value double"), bands, ["k"])
     assert sorted((r["k"], r["severity"], r["label"]) for r in out.collect()) == [
         ("a", 2, "very high"), ("a", 2, "very high"), ("b", 1, "high"), ("c", 0, "normal"), ("f", 3, "low")]
+
+
+def _brute_knn(rows, k):
+    """{(id, rank): (neighbour, distance)} by all pairs of (id, vector) without a missing value."""
+    out = {}
+    pts = [(i, v) for i, v in rows if None not in v]
+    for i, v in pts:
+        near = sorted((math.dist(v, w), j) for j, w in pts if j != i)[:k]
+        out.update({(i, r): (j, d) for r, (d, j) in enumerate(near, 1)})
+    return out
+
+
+@pytest.mark.parametrize("kind", ["one feature", "constant leading", "all equal", "far apart", "nulls"])
+def test_knn_of_odd_shapes(spark, kind):
+    rnd = random.Random(7)
+    rows = {
+        "one feature": [(i, [rnd.randrange(40) / 4]) for i in range(60)],
+        "constant leading": [(i, [1.0, 2.0, 3.0, i * 1e9]) for i in range(12)],
+        "all equal": [(i, [1.0, 2.0]) for i in range(9)],
+        "far apart": [(i, [rnd.random() * 1e-6 + (i % 3) * 1e6, rnd.random()]) for i in range(40)],
+        "nulls": [(i, [rnd.random(), None if i % 4 == 0 else rnd.random(), 5.0]) for i in range(40)],
+    }[kind]
+    features = [f"x{j}" for j in range(len(rows[0][1]))]
+    df = spark.createDataFrame([(i, *v) for i, v in rows], "id long, " + ", ".join(f"{f} double" for f in features))
+    got = {(r.id, r.nn_rank): (r.nn_id, r.dist) for r in knn_exact(df, "id", features, 5).collect()}
+    want = _brute_knn(rows, 5)
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-9 * (1 + want[x][1]) for x in want)
+
+
+def test_smote_refuses_rows_with_a_missing_feature(spark):
+    df = spark.createDataFrame([(i, int(i < 8), float(i), None if i in (1, 3) else 1.0) for i in range(48)], "id long, label int, a double, b double")
+    with pytest.raises(ValueError):
+        smote(df, "id", "label", ["a", "b"])
+    whole = smote(df.fillna(0.0), "id", "label", ["a", "b"]).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in whole} == {0: 40, 1: 40}
