@@ -11,11 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import rdp
 from cohortflow.operators.quantiles import quantiles_wide
+from cohortflow.session import cut_lineage
 
 ALL = "All"
 CLASS_NAMES = {0: "No Complication", 1: "Complication"}  # fixed display names of the two classes
@@ -206,7 +208,8 @@ def high_correlation(pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 # AGG-19 -------------------------------------------------------------------------------------
 def histogram(tall: DataFrame, bins: int = 40) -> DataFrame:
-    """Equal-width bins over [min, max] per feature (last bin closed) with density = n / (N * width)."""
+    """Equal-width bins over [min, max] per feature (last bin closed) with density = n / (N * width); empty bins too.
+    A feature with a single value has the first bin alone."""
     v = tall.filter(F.col("value").isNotNull())
     rng = v.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
@@ -214,8 +217,9 @@ def histogram(tall: DataFrame, bins: int = 40) -> DataFrame:
         F.col("hi") > F.col("lo"),
         F.least(F.floor((F.col("value") - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo"))), F.lit(bins - 1)),
     ).otherwise(F.lit(0))
-    binned = v.join(F.broadcast(rng), "feature").select("feature", idx.cast("int").alias("bin"), "lo", "hi", "total")
-    counts = binned.groupBy("feature", "bin", "lo", "hi", "total").agg(F.count(F.lit(1)).alias("n"))
+    found = v.join(F.broadcast(rng), "feature").groupBy("feature", idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    all_bins = rng.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("hi") > F.col("lo"), bins - 1).otherwise(0))).alias("bin"))
+    counts = all_bins.join(found, ["feature", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return counts.select(
         "feature",
         "bin",
@@ -227,42 +231,42 @@ def histogram(tall: DataFrame, bins: int = 40) -> DataFrame:
 
 
 # AGG-20 -------------------------------------------------------------------------------------
-def kde_curve(tall: DataFrame, grid_points: int = 1000, bins: int = 512) -> DataFrame:
-    """Gaussian KDE with Scott's bandwidth (n^-1/5 * sample std) on a grid spanning +-half the range.
+def kde_curve(tall: DataFrame, grid_points: int = 1000) -> DataFrame:
+    """Exact Gaussian KDE with Scott's bandwidth (n^-1/5 * sample std) on a grid spanning +-half the range.
 
-    The data are first reduced to ``bins`` equal-width bin centres with counts (bounded state per
-    feature); each grid point then folds over that bounded array with a built-in higher-order function.
-    A value moves by at most half a bin, so a density is off by at most 0.121 * range / (bins * h^2), h the bandwidth.
-    """
+    Values are first counted, so equal ones cost one kernel.  A task adds the kernels of its distinct values up over the
+    fixed grid of each feature (arrays of ``grid_points``, whatever the number of rows) and sends one row a grid point;
+    those are summed.  What the tasks are given is one grid a feature.  A feature without spread has no density."""
     v = tall.filter(F.col("value").isNotNull())
     st = v.groupBy("feature").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd")
     )
-    w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    idx = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / w), F.lit(bins - 1))).otherwise(F.lit(0))
-    binned = (
-        v.join(F.broadcast(st), "feature")
-        .select("feature", idx.alias("b"), "lo", "hi")
-        .groupBy("feature", "b", "lo", "hi")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .select("feature", "b", "c", (F.col("lo") + (F.col("b") + F.lit(0.5)) * w).alias("centre"))
-    )
-    arrs = binned.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("b", "centre", "c"))).alias("cells"))
     span = F.col("hi") - F.col("lo")
-    g0 = F.col("lo") - F.lit(0.5) * span
-    step = (F.lit(2.0) * span) / F.lit(float(grid_points - 1))
-    h = F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd")
-    grid = st.join(arrs, "feature").select(
-        "feature", "n", h.alias("h"), g0.alias("g0"), step.alias("step"), "cells",
-        F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i"),
-    ).withColumn("x", F.col("g0") + F.col("i") * F.col("step"))
-    kern = F.aggregate(
-        "cells",
-        F.lit(0.0),
-        lambda acc, e: acc + e["c"] * F.exp(F.lit(-0.5) * F.pow((F.col("x") - e["centre"]) / F.col("h"), 2)),
-    )
+    st = cut_lineage(st.select(
+        "feature", "n", (F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd")).alias("h"),
+        (F.col("lo") - F.lit(0.5) * span).alias("g0"), ((F.lit(2.0) * span) / F.lit(float(grid_points - 1))).alias("step"),
+    ))
+    grids = {r["feature"]: (r["g0"] + np.arange(grid_points) * r["step"], r["h"]) for r in st.collect() if r["h"]}  # <= #features rows
+
+    def kernels(batches):
+        total = {f: np.zeros(grid_points) for f in grids}
+        for b in batches:
+            names, values, counts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for f in grids.keys() & set(names):
+                x, h = grids[f]
+                mine = np.flatnonzero(names == f)
+                for i in range(0, len(mine), 256):
+                    at = mine[i : i + 256]
+                    total[f] += np.exp(-0.5 * ((x[:, None] - values[at]) / h) ** 2) @ counts[at]
+        for f, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([f] * grid_points, pa.string()), pa.array(np.arange(grid_points, dtype=np.int32)), pa.array(t)], ["feature", "i", "k"])
+
+    counts = v.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    sums = counts.mapInArrow(kernels, "feature string, i int, k double").groupBy("feature", "i").agg(F.sum("k").alias("k"))
+    grid = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i"))
     norm = F.col("n") * F.col("h") * F.lit(2.5066282746310002)  # n * h * sqrt(2*pi)
-    return grid.select("feature", "i", "x", F.when(F.col("h") > 0, kern / norm).alias("density"))
+    return grid.join(sums, ["feature", "i"], "left").select(
+        "feature", "i", (F.col("g0") + F.col("i") * F.col("step")).alias("x"), F.when(F.col("h") > 0, F.col("k") / norm).alias("density"))
 
 
 # AGG-21 -------------------------------------------------------------------------------------

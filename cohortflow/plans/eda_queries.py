@@ -77,7 +77,7 @@ def q_histogram(spark, sf_dir):
 
 
 def q_kde_curve(spark, sf_dir):
-    return round_doubles(eda.kde_curve(b_tall(spark, sf_dir, KDE_FEATURES), 1000, 512))
+    return round_doubles(eda.kde_curve(b_tall(spark, sf_dir, KDE_FEATURES), 1000))
 
 
 def q_box_stats(spark, sf_dir):

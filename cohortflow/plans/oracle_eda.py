@@ -128,18 +128,17 @@ HIST = with_b(
 ) + rounded_sql(
     """SELECT feature, bin, lo + bin * ((hi - lo) / 40.0::double) AS bin_lo, lo + (bin + 1) * ((hi - lo) / 40.0::double) AS bin_hi, n,
               CASE WHEN (hi - lo) / 40.0::double > 0 THEN n / (total * ((hi - lo) / 40.0::double)) END AS density
-       FROM (SELECT feature, CAST(CASE WHEN hi > lo THEN least(floor((value - lo) * 40.0::double / (hi - lo)), 39) ELSE 0 END AS INTEGER) AS bin,
-                    lo, hi, total, count(*) AS n
-             FROM b_tall JOIN rng USING (feature) WHERE value IS NOT NULL GROUP BY ALL) b""",
+       FROM (SELECT r.feature, CAST(i.range AS INTEGER) AS bin, r.lo, r.hi, r.total,
+                    count(value) FILTER (WHERE CASE WHEN r.hi > r.lo THEN least(floor((value - r.lo) * 40.0::double / (r.hi - r.lo)), 39) ELSE 0 END = i.range) AS n
+             FROM rng r CROSS JOIN range(0, 40) i JOIN b_tall t ON t.feature = r.feature
+             WHERE i.range = 0 OR r.hi > r.lo GROUP BY ALL) b""",
     ["bin_lo", "bin_hi", "density"],
 )
 
 KDE = with_b(
     kt=tall_sql("fx_b", EQ.KDE_FEATURES),
     st="SELECT feature, min(value) AS lo, max(value) AS hi, count(*) AS n, stddev_samp(value) AS sd FROM kt WHERE value IS NOT NULL GROUP BY feature",
-    cells="""SELECT feature, b, count(*) AS c, lo + (b + 0.5::double) * ((hi - lo) / 512.0::double) AS centre
-             FROM (SELECT t.feature, CASE WHEN hi > lo THEN least(floor((value - lo) / ((hi - lo) / 512.0::double)), 511) ELSE 0 END AS b, lo, hi
-                   FROM kt t JOIN st USING (feature) WHERE value IS NOT NULL) x GROUP BY feature, b, lo, hi""",
+    cells="SELECT feature, value AS centre, count(*) AS c FROM kt WHERE value IS NOT NULL GROUP BY feature, value",
     grid="""SELECT feature, n, pow(n::double, -0.2::double) * sd AS h, lo - 0.5::double * (hi - lo) AS g0,
                    (2.0::double * (hi - lo)) / 999.0::double AS step, CAST(i AS INTEGER) AS i
             FROM st CROSS JOIN range(0, 1000) r(i)""",

@@ -60,6 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "cohortflow", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives executor loss, unlike a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

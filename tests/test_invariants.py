@@ -11,6 +11,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from cohortflow.operators import eda
 from cohortflow.operators import prep as P
 from cohortflow.operators.prefix import prefix_sums, running_stats
 from cohortflow.operators.quantiles import quantiles_wide
@@ -345,3 +346,36 @@ def test_smote_refuses_rows_with_a_missing_feature(spark):
         smote(df, "id", "label", ["a", "b"])
     whole = smote(df.fillna(0.0), "id", "label", ["a", "b"]).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in whole} == {0: 40, 1: 40}
+
+
+def test_kde_equals_the_kernel_sum(spark):
+    rnd = random.Random(3)
+    data = {"a": [rnd.gauss(5, 2) for _ in range(700)] * 2, "b": [rnd.expovariate(1) * 1e6 for _ in range(300)], "flat": [3.0] * 9, "one": [4.0], "none": [None] * 3}
+    df = spark.createDataFrame([(f, v) for f, vs in data.items() for v in vs], "feature string, value double").repartition(7)
+    got = {(r.feature, r.i): r for r in eda.kde_curve(df, 101).collect()}
+    assert {f for f, _ in got} == {"a", "b", "flat", "one"} and len(got) == 404
+    for f in ("a", "b"):
+        v = np.array(data[f])
+        h, span = len(v) ** -0.2 * v.std(ddof=1), np.ptp(v)
+        for i, x in enumerate(np.linspace(v.min() - span / 2, v.max() + span / 2, 101)):
+            want = np.exp(-0.5 * ((x - v) / h) ** 2).sum() / (len(v) * h * math.sqrt(2 * math.pi))
+            assert got[f, i].x == pytest.approx(x, rel=1e-9, abs=1e-9 * span) and got[f, i].density == pytest.approx(want, rel=1e-9, abs=1e-12 / h)
+    assert all(r.density is None for (f, _), r in got.items() if f in ("flat", "one"))
+
+
+def test_histogram_has_its_empty_bins(spark):
+    df = spark.createDataFrame([("a", v) for v in (0.0, 0.1, 9.9, 10.0)] + [("flat", 2.0)] * 3 + [("none", None)], "feature string, value double")
+    got = sorted((r.feature, r.bin, r.n) for r in eda.histogram(df, 10).collect())
+    assert got == [("a", i, 2 if i in (0, 9) else 0) for i in range(10)] + [("flat", 0, 3)]
+
+
+def test_stream_of_a_folder_without_files_is_empty(spark, tmp_path):
+    from cohortflow.operators import cohort as C
+    from cohortflow.session import read_table
+    from cohortflow.sources import fixtures as FX
+    from cohortflow.streaming.features import feature_state, run_feature_stream
+
+    events = read_table(spark, SMALL, "events")
+    derive = lambda ev: C.parse_measurements(FX.lab_rows_from_events(ev))
+    got = run_feature_stream(spark, str(tmp_path), events.schema, derive, "admission_no")
+    assert got.count() == 0 and got.dtypes == feature_state(derive(events), "admission_no", "panel", "value", "performed_at", "row_id").dtypes
