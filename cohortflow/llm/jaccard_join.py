@@ -19,8 +19,9 @@ Each link is decided on exact intersections of 64-bit shingle hashes.  Component
 No step collects a group beyond a block of members and a bounded chunk of queries, and nothing goes to the driver.
 
 Edge cases: a null text is empty; a text without words has no shingles and links with nothing; rows without an id get
-their size and a null component, and take no part in links; rows that repeat an id and text are copies; ties do not
-matter (sets are compared by value); extra columns are ignored; an empty table gives an empty result; whole texts.
+their size and a null component, and take no part in links; rows that repeat an id and text are copies; rows of one id
+with different texts are one document, which links with whatever one of its texts links with; ties do not matter (sets
+are compared by value); extra columns are ignored; an empty table gives an empty result; whole texts.
 """
 
 from __future__ import annotations
@@ -162,10 +163,10 @@ def _tokens(n_words: int):
     def run(batches):
         for b in batches:
             keep, size = [], 0
-            for i, (rep, n, hi, lo, low, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), b.column(5))):
+            for i, (rep, name, n, hi, lo, low, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(6)), b.column(6))):
                 s = shingles(text.as_py(), n_words)
                 if set_hash(s) == (hi, lo):  # another row may carry the same id
-                    keep.append((rep, n, low if low != int(_NONE) else int(_mix(s).min() >> np.uint64(1)), s.view(np.int64)))
+                    keep.append((rep, name, n, low if low != int(_NONE) else int(_mix(s).min() >> np.uint64(1)), s.view(np.int64)))
                     size += len(s)
                 if keep and (size >= 500_000 or i == b.num_rows - 1):
                     yield out(b, keep)
@@ -174,8 +175,8 @@ def _tokens(n_words: int):
                 yield out(b, keep)
 
     def out(b, keep):
-        tokens = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k[3]) for k in keep])]).astype(np.int32), pa.array(np.concatenate([k[3] for k in keep])))
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], b.schema.field(0).type), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.int64()), tokens], ["rep", "n", "low", "tokens"])
+        tokens = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k[4]) for k in keep])]).astype(np.int32), pa.array(np.concatenate([k[4] for k in keep])))
+        return pa.RecordBatch.from_arrays([*[pa.array([k[c] for k in keep], kind) for c, kind in ((0, pa.int64()), (1, b.schema.field(1).type), (2, pa.int64()), (3, pa.int64()))], tokens], ["rep", "name", "n", "low", "tokens"])
 
     return run
 
@@ -257,7 +258,7 @@ def _open_groups(percent: int):
     def run(members, queries):
         import pandas as pd
 
-        ids, sizes = members["rep"].to_numpy(), members["n"].to_numpy()
+        ids, names, sizes = members["rep"].to_numpy(), members["name"].to_numpy(), members["n"].to_numpy()
         lists = members["tokens"].tolist()
         flat = np.concatenate(lists)
         owner = np.repeat(np.arange(len(ids)), sizes)
@@ -292,16 +293,16 @@ def _open_groups(percent: int):
                 x, y = root(i), root(int(j))
                 if x != y:
                     part[x] = y
-                    a.append(ids[i])
-                    b.append(ids[j])
-        for rep, t, n in zip(queries["query"], queries["set"], queries["size"]):
+                    a.append(names[i])
+                    b.append(names[j])
+        for rep, name, t, n in zip(queries["query"], queries["called"], queries["set"], queries["size"]):
             met = {}
             for j in linked(np.asarray(t), int(n)):
                 if ids[j] != rep:
-                    met.setdefault(root(int(j)), ids[j])
-            a += [rep] * len(met)
+                    met.setdefault(root(int(j)), names[j])
+            a += [name] * len(met)
             b += met.values()
-        return pd.DataFrame({"a": np.array(a, ids.dtype), "b": np.array(b, ids.dtype)})
+        return pd.DataFrame({"a": np.array(a, names.dtype), "b": np.array(b, names.dtype)})
 
     return run
 
@@ -338,17 +339,19 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     packed = profile.filter("bucket is not null").select("bucket", "sets", "counts", "keys")
     own = packed.groupBy("bucket").applyInPandas(lambda pdf: _own_tokens(pdf, width), "part int, sets binary, own binary, low binary")
     own = own.groupBy("part").applyInPandas(_add_own, "lo long, own long, low long")
-    reps = stored(rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "set-reps")
+    known = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    sets = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("name"), F.max("n").alias("n"))
+    reps = stored(sets.withColumn("rep", F.monotonically_increasing_id()), "set-reps")  # numbered where they are written
     need = F.floor((F.col("n") * percent + 99) / 100)
-    left = reps.join(own, "lo", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("n") - need).select("rep", "n", "hi", "lo", F.coalesce("low", F.lit(int(_NONE))).alias("low"))
-    texts = left.join(slim, F.col("rep") == F.col("doc_id")).select("rep", "n", "hi", "lo", "low", "text")
-    sets = stored(texts.mapInArrow(_tokens(n_words), f"rep {kind}, n long, low long, tokens array<long>"), "sets-left")
+    left = reps.join(own, "lo", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("n") - need).select("rep", "name", "n", "hi", "lo", F.coalesce("low", F.lit(int(_NONE))).alias("low"))
+    texts = left.join(slim, F.col("name") == F.col("doc_id")).select("rep", "name", "n", "hi", "lo", "low", "text")
+    sets = stored(texts.mapInArrow(_tokens(n_words), f"rep long, name {kind}, n long, low long, tokens array<long>"), "sets-left")
 
     # groups: by the smallest token hash, in blocks
     light = sets.select("rep", "low", "n").distinct().withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.03))))
     many = light.groupBy("low", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
     grouped = stored(light.join(many, ["low", "band"]).select("rep", F.xxhash64("low", "band", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("gid")), "set-groups")
-    members = stored(sets.dropDuplicates(["rep"]).join(grouped, "rep").select("rep", "gid", "n", "tokens"), "set-members")
+    members = stored(sets.dropDuplicates(["rep"]).join(grouped, "rep").select("rep", "name", "gid", "n", "tokens"), "set-members")
     in_groups = members.select("gid", "n", "tokens").repartition("gid").sortWithinPartitions("gid")
     matrix = stored(in_groups.mapInArrow(_unions, "gid long, token long, least long"), "matrix")
 
@@ -356,10 +359,10 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     shared = stored(matrix.join(spread, "token"), "matrix-shared")
     offered = shared.groupBy("gid").agg(F.collect_list(F.struct("token", "groups")).alias("_s"))  # at most a block's tokens
-    offered = offered.select("gid", F.lit(None).cast(kind).alias("rep"), F.lit(None).cast("long").alias("n"), F.col("_s.token").alias("tokens"), F.col("_s.groups").alias("groups"))
+    offered = offered.select("gid", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("n"), F.col("_s.token").alias("tokens"), F.col("_s.groups").alias("groups"))
     asking = members.select("gid", "rep", "n", "tokens", F.lit(None).cast("array<long>").alias("groups"))
     prefix = asking.unionByName(offered).repartition("gid").sortWithinPartitions("gid") \
-        .mapInArrow(_prefixes(percent), f"rep {kind}, home long, token long, n long, n_met long, rank long")
+        .mapInArrow(_prefixes(percent), "rep long, home long, token long, n long, n_met long, rank long")
     # of two partners the one with more shingles asks; a token counts as far as the smallest set there with it allows
     spare = lambda other: F.col("n_met") - F.floor((percent * (F.col("n") + other) + 99 + percent) / (100 + percent)) + 1
     near = (F.col("gid") != F.col("home")) & (F.col("least") <= F.col("n")) & (F.col("rank") <= spare(F.greatest("least", F.ceil(F.col("n") * percent / 100))))
@@ -369,20 +372,26 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, id_
     # open: members of a block against chunks of queries
     chunks = pairs.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
     queries = pairs.join(chunks, "gid").select("rep", "gid", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")) \
-        .join(members.select("rep", "n", "tokens"), "rep").select("gid", "chunk", "rep", "n", "tokens").toDF("to", "part", "query", "size", "set")
+        .join(members.select("rep", "name", "n", "tokens"), "rep").select("gid", "chunk", "rep", "name", "n", "tokens").toDF("to", "part", "query", "called", "size", "set")
     busy = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("held")).join(chunks, "gid", "left").filter("held > 1 or chunks is not null")  # the others have no one to meet
-    opened = members.join(busy, "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).select("gid", "chunk", "rep", "n", "tokens")
+    opened = members.join(busy, "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).select("gid", "chunk", "rep", "name", "n", "tokens")
     links = opened.groupBy("gid", "chunk").cogroup(queries.groupBy("to", "part")).applyInPandas(_open_groups(percent), f"a {kind}, b {kind}")
-    part = components(links)
 
-    of_set = reps.join(part, reps["rep"] == part["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
+    # an id on different texts ties their sets together, each known by its smallest id
+    key = F.struct("hi", "lo")
+    several = known.groupBy("doc_id").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first <> last").select("doc_id")
+    ties = known.join(several, "doc_id", "left_semi").join(reps.select("hi", "lo", "name"), ["hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("name").alias("b"))
+    part = components(links.union(ties))
+
+    of_set = reps.join(part, reps["name"] == part["node"], "left").select("hi", "lo", F.coalesce("component", "name").alias("component"))
     out = rows.join(of_set, ["hi", "lo"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.cast(kind).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows to keep: of each component the row with the smallest id, once; rows without an id stay."""
+    """All columns of the rows to keep: of each component the rows with the smallest id, each different text of it once;
+    rows without an id stay.  Of rows with equal id and text one stays, whichever Spark meets first."""
     part = jaccard_components(docs, n_words, percent, id_col, text_col)
     stay = part.filter("component_id = doc_id").select(F.col("doc_id").alias("k_id")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("d_id"), F.xxhash64(F.col(text_col)).alias("d_hash"))

@@ -164,6 +164,16 @@ def test_join_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 6, 8, 9, 10, 11]
 
 
+def test_join_one_id_on_different_texts(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = lambda w, i: " ".join([*w[:i], *w[i + 1 :]])
+    a, b, near_a, near_b = " ".join(a), " ".join(b), near(a, 59), near(b, 59)
+    run = lambda rows: {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert run([(1, a), (1, b), (2, near_a), (3, near_b)]) == {(1, 1), (2, 1), (3, 1)}
+    assert run([(1, a), (5, a), (5, b), (7, near_b), (8, "x y z")]) == {(1, 1), (5, 1), (7, 1), (8, 8)}
+    assert run([(4, a), (4, b), (2, near_a), (3, near_b), (2, near_a)]) == {(2, 2), (3, 2), (4, 2)}
+
+
 # --- 4 sharding
 
 
