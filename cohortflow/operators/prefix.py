@@ -81,7 +81,7 @@ def prefix_sums(
     return out.withColumns({f"{c}_before": F.col(f"{c}_upto") - F.col(c) for c in sum_cols})
 
 
-def _merged(a, b, field) -> Column:
+def merge_moments(a, b, field) -> Column:
     """Pairwise merge of two states (n, mean, m2, hi, lo), read by field(state, name)."""
     na, nb = field(a, "n"), field(b, "n")
     n, d = na + nb, field(b, "mean") - field(a, "mean")
@@ -92,7 +92,7 @@ def _merged(a, b, field) -> Column:
                     F.greatest(field(a, "hi"), field(b, "hi")).alias("hi"), F.least(field(a, "lo"), field(b, "lo")).alias("lo"))
 
 
-def _state(v: Column, over=None) -> Column:
+def moments(v: Column, over=None) -> Column:
     """(n, mean, m2, hi, lo) of a value, as an aggregate or over a window."""
     at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
     n = at(F.count(v)).cast("double")
@@ -119,14 +119,14 @@ def running_stats(
     ranged = _sliced(df, group_cols, ords, num_partitions)
     field = lambda s, name: s.getField(name)
     value = lambda c: F.col(c).cast("double")
-    totals = ranged.groupBy(_PID, *group_cols).agg(*[_state(value(c)).alias(f"_t_{c}") for c in value_cols])
+    totals = ranged.groupBy(_PID, *group_cols).agg(*[moments(value(c)).alias(f"_t_{c}") for c in value_cols])
     several = _straddling(totals, group_cols)
     # one array of slices per straddling group; all arrays together hold at most two entries a slice
     arrays = several.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct(_PID, *[f"_t_{c}" for c in value_cols]))).alias("_a"))
 
     def before(c: str) -> Column:
         start = F.struct(F.expr(_NOTHING).alias("now"), F.expr(f"slice(array({_NOTHING}), 1, 0)").alias("out"))
-        step = lambda acc, x: F.struct(_merged(acc["now"], x[f"_t_{c}"], field).alias("now"),
+        step = lambda acc, x: F.struct(merge_moments(acc["now"], x[f"_t_{c}"], field).alias("now"),
                                        F.concat(acc["out"], F.array(acc["now"])).alias("out"))
         return F.aggregate("_a", start, step, lambda acc: acc["out"])
 
@@ -137,8 +137,8 @@ def running_stats(
     joined = _carry(ranged, carried, group_cols).select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(F.col(f"_o_{c}"), nothing).alias(f"_o_{c}") for c in value_cols],
-        *[_state(value(c), upto).alias(f"_i_{c}") for c in value_cols],
-    ).withColumns({f"_s_{c}": _merged(F.col(f"_o_{c}"), F.col(f"_i_{c}"), field) for c in value_cols})
+        *[moments(value(c), upto).alias(f"_i_{c}") for c in value_cols],
+    ).withColumns({f"_s_{c}": merge_moments(F.col(f"_o_{c}"), F.col(f"_i_{c}"), field) for c in value_cols})
     cols = []
     for c in value_cols:
         s = F.col(f"_s_{c}")

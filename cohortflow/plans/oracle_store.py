@@ -186,6 +186,15 @@ ORACLE = {
             FROM up_v v JOIN up_p p ON v.patient_id = p.id""",
         LABS,
     ),
+    "patient_lookup": _with(_base(), ALL)
+    + rounded_sql(
+        f"""SELECT p.patient_code, row_number() OVER (PARTITION BY w.found_by ORDER BY v.visit_date, v.visit_id) AS visit_rank,
+                   strftime(v.visit_date, '%Y-%m-%d') AS visit_date, v.ldl, v.hdl, v.triglycerid, '-' AS prob_text, w.found_by
+            FROM (SELECT min(patient_code) AS patient_code, 'code' AS found_by FROM all_p
+                  UNION ALL SELECT max(patient_code), 'id' FROM all_p) w
+            JOIN all_p p ON p.patient_code = w.patient_code JOIN all_v v ON v.patient_id = p.id""",
+        LABS,
+    ),
     "expanding_features": _with(_base(), ALL, ef=_expanding("all_v")) + rounded_sql("SELECT * FROM ef", EXP_DOUBLES),
     "sink_roundtrip": _with(lab_parts("cohort")) + rounded_sql("SELECT * FROM cohort", FEATURE_DOUBLES),
     "stream_features": _with(lab_parts("lab_parsed"))

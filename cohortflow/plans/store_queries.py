@@ -14,9 +14,11 @@ from cohortflow.operators import store as S
 from cohortflow.plans.cohort_queries import RULES, q_code_flags, q_cohort_select
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import visit_table
-from cohortflow.session import materialized, read_table
+from cohortflow.session import cut_lineage, materialized, read_table, scratch_path
 from cohortflow.sources import fixtures as FX
 from cohortflow.sources.sinks import roundtrip_csv, roundtrip_parquet
+from cohortflow.sources.store_files import lookup, write_store
+from cohortflow.streaming import rescoring as R
 from cohortflow.streaming.features import run_feature_stream
 
 STORE_LABS = {"ldl": "view", "hdl": "click", "triglycerid": "purchase"}
@@ -27,6 +29,8 @@ BATCH_AT = "2024-02-01 00:00:00"
 SCORE_WEIGHTS = {"ldl_mean": 0.6, "ldl_last": 0.3, "hdl_mean": -0.5, "triglycerid_max": 0.4, "age": 0.7, "diabetes": 0.5}
 SCORE_CONTINUOUS = ["ldl_mean", "ldl_last", "hdl_mean", "triglycerid_max", "age"]
 SCORE_INTERCEPT = -1.0
+VISIT_CONTINUOUS = [f"{lab}_{s}" for lab in STORE_LABS for s in ("mean", "max", "min", "std", "last")] + ["age"]
+VISIT_BINARY = ["gender", *STORE_FLAGS]
 
 
 def store_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +119,51 @@ def q_rescore_visits(spark, sf_dir):
     return round_doubles(scored.select("patient_code", "visit_id", "visit_date", "prediction_prob"))
 
 
+def with_facts(visits: DataFrame, patients: DataFrame) -> DataFrame:
+    """Visit rows with what the model takes of their patient: age, gender and flags."""
+    facts = patients.select(F.col("id").alias("patient_id"), (F.lit(RULES.reference_year) - F.col("birth_year")).cast("double").alias("age"),
+                            *[F.col(c).cast("double").alias(c) for c in VISIT_BINARY])
+    return visits.join(facts, "patient_id")
+
+
+def labelled_patients(spark, sf_dir, patients: DataFrame, visits: DataFrame) -> DataFrame:
+    """One row per stored patient: the features at the last visit, and the label from the patient's codes."""
+    feats = S.expanding_features(visits)
+    last = feats.groupBy("patient_id").agg(F.max_by(F.struct(*feats.columns), F.struct("visit_date", "visit_id")).alias("_r")).select("_r.*")
+    label = q_code_flags(spark, sf_dir).groupBy(S.surrogate_id("admission_no").alias("patient_id")).agg(F.max("target").alias("label"))
+    return with_facts(last, patients).join(label, "patient_id", "left")
+
+
+def q_rescore_stream(spark, sf_dir):
+    """INC-3 by the stored model: fitted on the stored patients, saved, made champion, loaded, and applied by a stream to the
+    visits that arrive after the cut, in several files."""
+    ex_p, ex_v, nw_p, nw_v = existing_and_incoming(spark, sf_dir)
+    ex_v = cut_lineage(ex_v)
+    store, state, arriving = (scratch_path(spark, f"rescore-{x}") for x in ("store", "state", "arriving"))
+    fitted = R.fit_visit_model(labelled_patients(spark, sf_dir, ex_p, ex_v), "patient_id", "label", VISIT_CONTINUOUS, VISIT_BINARY)
+    R.publish(spark, store, "v1", "logistic_regression", fitted)
+    R.seed(ex_v, state, "patient_id", "visit_id", list(STORE_LABS))
+    incoming = with_facts(nw_v.select("patient_id", "visit_id", "visit_date", *STORE_LABS), nw_p)
+    incoming.repartitionByRange("visit_date", "visit_id").write.parquet(arriving)
+    scores = R.run_visit_stream(spark, arriving, incoming.schema, R.champion(spark, store), state, list(STORE_LABS))
+    codes = nw_p.select(F.col("id").alias("patient_id"), "patient_code")
+    return round_doubles(scores.join(codes, "patient_id").select("patient_code", "visit_id", "visit_date", "prediction_prob"))
+
+
+def q_patient_lookup(spark, sf_dir):
+    """JN-5: the store in buckets of the id; the patient of the smallest code found by code, that of the largest by id."""
+    p, v = _load(store_source(spark, sf_dir), LOADED_AT)
+    p = cut_lineage(p)
+    path = scratch_path(spark, "store")
+    write_store(p, v, path)
+    first, last = p.agg(F.min("patient_code"), F.max(F.struct("patient_code", "id"))["id"]).first()
+    out = None
+    for how, found in (("code", lookup(spark, path, code=first)), ("id", lookup(spark, path, id=last))):
+        part = S.visit_history(*found).withColumn("found_by", F.lit(how))
+        out = part if out is None else out.unionByName(part)
+    return round_doubles(out)
+
+
 def q_visit_history(spark, sf_dir):
     ex_p, ex_v, nw_p, nw_v, scored = _rescored(spark, sf_dir)
     probs = scored.select("visit_id", F.col("prediction_prob").alias("_p"))
@@ -152,6 +201,8 @@ QUERIES = {
     "store_upsert": q_store_upsert,
     "constraint_check": q_constraint_check,
     "rescore_visits": q_rescore_visits,
+    "rescore_stream": q_rescore_stream,
+    "patient_lookup": q_patient_lookup,
     "visit_history": q_visit_history,
     "expanding_features": q_expanding_features,
     "sink_roundtrip": q_sink_roundtrip,
