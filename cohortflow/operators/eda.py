@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import rdp
-from cohortflow.operators.quantiles import quantiles_wide
+from cohortflow.operators import count_stats
 from cohortflow.session import cut_lineage
 
-ALL = "All"
 CLASS_NAMES = {0: "No Complication", 1: "Complication"}  # fixed display names of the two classes
 
 
@@ -31,13 +30,6 @@ def to_tall(
     return cast.unpivot([id_col, label_col], list(features), "feature", "value")
 
 
-def with_groups(tall: DataFrame, label_col: str) -> DataFrame:
-    """Duplicate each row into group 'All' and its class ('0'/'1') -- the grouping sets of a describe."""
-    return tall.withColumn(
-        "grp", F.explode(F.array(F.lit(ALL), F.col(label_col).cast("string")))
-    )
-
-
 # AGG-9 / SRC-5 ------------------------------------------------------------------------------
 def profile(df: DataFrame, group_col: str, entity_col: str, value_col: str, ts_col: str) -> DataFrame:
     return df.groupBy(group_col).agg(
@@ -105,19 +97,13 @@ def crosstab_pct(tall_cat: DataFrame, label_col: str, labels: Sequence[int] = (0
 
 
 # AGG-14 -------------------------------------------------------------------------------------
-def describe_by_group(tall: DataFrame, label_col: str, digits: int = 4, method: str = "exact") -> DataFrame:
+def describe_by_group(tall: DataFrame, label_col: str, digits: int = 4) -> DataFrame:
     """feature x group(All/0/1): n, mean, median, std, min, max, IQR (rounded)."""
-    g = with_groups(tall.filter(F.col("value").isNotNull()), label_col)
-    moments = g.groupBy("feature", "grp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = quantiles_wide(g, ["feature", "grp"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, method)
-    out = moments.join(q, ["feature", "grp"])
-    return out.select(
+    return _rounded(count_stats.group_statistics(tall, label_col), digits)
+
+
+def _rounded(st: DataFrame, digits: int) -> DataFrame:
+    return st.select(
         "feature",
         "grp",
         "n",
@@ -126,6 +112,17 @@ def describe_by_group(tall: DataFrame, label_col: str, digits: int = 4, method:
     )
 
 
+def describe_wide(tall: DataFrame, label_col: str, digits: int = 4) -> DataFrame:
+    """SET-3: one row per feature, the statistics of All, 0 and 1 side by side ({group}_{statistic})."""
+    groups = count_stats.group_names()
+    wide = count_stats.wide_statistics(count_stats.ranked_counts(count_stats.count_table(tall, label_col), groups), groups)
+    out = []
+    for g in groups:
+        out += [F.col(f"{g}_n"), *[rdp(F.col(f"{g}_{c}"), digits).alias(f"{g}_{c}") for c in ["mean", "median", "std", "min", "max"]],
+                rdp(F.col(f"{g}_q3") - F.col(f"{g}_q1"), digits).alias(f"{g}_iqr")]
+    return wide.select("feature", *out)
+
+
 # AGG-15 -------------------------------------------------------------------------------------
 def missing_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
@@ -270,23 +267,9 @@ def kde_curve(tall: DataFrame, grid_points: int = 1000) -> DataFrame:
 
 
 # AGG-21 -------------------------------------------------------------------------------------
-def box_stats(tall: DataFrame, label_col: str, whisker: float = 1.5, method: str = "exact") -> DataFrame:
+def box_stats(tall: DataFrame, label_col: str, whisker: float = 1.5) -> DataFrame:
     """Per feature and group: quartiles, whiskers (extreme data within 1.5 IQR), flier count."""
-    g = with_groups(tall.filter(F.col("value").isNotNull()), label_col)
-    q = quantiles_wide(g, ["feature", "grp"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, method)
-    q = q.withColumns(
-        {
-            "lo_fence": F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1")),
-            "hi_fence": F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1")),
-        }
-    )
-    j = g.join(F.broadcast(q), ["feature", "grp"])  # one row per (feature, group): bounded by schema
-    inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
-    return j.groupBy("feature", "grp", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.count_if(~inside).cast("bigint").alias("n_fliers"),
-    )
+    return count_stats.box_statistics(tall, label_col, whisker)
 
 
 # AGG-22 -------------------------------------------------------------------------------------

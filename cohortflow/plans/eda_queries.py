@@ -59,6 +59,10 @@ def q_describe_by_group(spark, sf_dir):
     return eda.describe_by_group(b_tall(spark, sf_dir), "label")
 
 
+def q_describe_wide(spark, sf_dir):
+    return eda.describe_wide(b_tall(spark, sf_dir), "label")
+
+
 def q_missing_ratio(spark, sf_dir):
     return round_doubles(eda.missing_ratio(b_table(spark, sf_dir), MISSING_COLS))
 
@@ -135,6 +139,7 @@ QUERIES = {
     "crosstab_margins": q_crosstab_margins,
     "crosstab_pct": q_crosstab_pct,
     "describe_by_group": q_describe_by_group,
+    "describe_wide": q_describe_wide,
     "missing_ratio": q_missing_ratio,
     "corr_matrix": q_corr_matrix,
     "corr_pairs": q_corr_pairs,

@@ -81,6 +81,12 @@ SELECT feature, grp, count(*) AS n,
 FROM b_grp WHERE value IS NOT NULL GROUP BY feature, grp
 """
 
+_WIDE = ", ".join(
+    f"max({c}) FILTER (WHERE grp = '{g}') AS \"{g}_{c}\"" if c != "n" else f"COALESCE(max(n) FILTER (WHERE grp = '{g}'), 0) AS \"{g}_n\""
+    for g in ("All", "0", "1") for c in ("n", "mean", "median", "std", "min", "max", "iqr")
+)
+DESCRIBE_WIDE = f"SELECT feature, {_WIDE} FROM ({DESCRIBE}) d GROUP BY feature"
+
 MISSING = with_b() + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, {r6_sql(f'avg(CASE WHEN {c} IS NULL THEN 1.0::double ELSE 0.0::double END)')} AS missing_ratio FROM fx_b"
     for c in EQ.MISSING_COLS
@@ -251,6 +257,7 @@ ORACLE = {
     "crosstab_margins": MARGINS,
     "crosstab_pct": PCT,
     "describe_by_group": DESCRIBE,
+    "describe_wide": DESCRIBE_WIDE,
     "missing_ratio": MISSING,
     "corr_matrix": CORR_MATRIX,
     "corr_pairs": CORR_PAIRS,

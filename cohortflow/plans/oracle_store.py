@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from cohortflow.plans.common import rounded_sql
 from cohortflow.plans.oracle_cohort import FEATURE_DOUBLES, KEYS, flag_cols_sql, lab_parts
-from cohortflow.plans.oracle_eda import VISIT_PARTS
+from cohortflow.plans.oracle_eda import DESCRIBE, VISIT_PARTS
+from cohortflow.plans.oracle_prep import SPLIT
+from cohortflow.plans.oracle_stats import ORACLE as STAT_ORACLE
+from cohortflow.plans.prep_queries import MODEL_FEATURES
 from cohortflow.plans.store_queries import (
     BATCH_AT,
     CUTOFF,
@@ -168,7 +171,16 @@ def _checks_raw() -> str:
     return "SELECT 'raw' AS \"table\", * FROM (" + " UNION ALL ".join(rows) + ") r"
 
 
+_EXPORTED = {f"{k}_{part}": (["row_id", *cols], f"SELECT count(*) FROM split WHERE split = '{part}'")
+             for part in ("train", "test") for k, cols in (("X", MODEL_FEATURES), ("y", ["label"]))}
+_EXPORTED["descriptive"] = (["feature", "grp", "n", "mean", "median", "std", "min", "max", "iqr"], f"SELECT count(*) FROM ({DESCRIBE}) d")
+STAT_COLUMNS = ["feature", "type", "normal", "test", "statistic", "p_value", "significant", "mean_group0", "mean_group1", "median_group0", "median_group1", "neg_log10_p"]
+_EXPORTED["tests"] = (STAT_COLUMNS, f"SELECT count(*) FROM ({STAT_ORACLE['hypothesis_tests']}) h")
+
 ORACLE = {
+    "export_tables": FX.cte(**SPLIT)
+    + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", CAST(i AS INTEGER) AS position, c AS \"column\", ({n}) AS n_rows, true AS verified "
+                         f"FROM (VALUES {', '.join(f'({i}, {c!r})' for i, c in enumerate(cols))}) x(i, c)" for t, (cols, n) in _EXPORTED.items()),
     "store_load": _with(_base(), ALL)
     + "SELECT p.*, n.n_visits FROM all_p p LEFT JOIN (SELECT patient_id, count(*) AS n_visits FROM all_v GROUP BY 1) n ON p.id = n.patient_id",
     "store_upsert": _with(_base(), EX, NW, UPSERT) + "SELECT * FROM up_p",

@@ -13,9 +13,12 @@ from cohortflow.operators import prep as P
 from cohortflow.operators import store as S
 from cohortflow.plans.cohort_queries import RULES, q_code_flags, q_cohort_select
 from cohortflow.plans.common import round_doubles
-from cohortflow.plans.eda_queries import visit_table
+from cohortflow.plans.eda_queries import q_describe_by_group, visit_table
+from cohortflow.plans.prep_queries import MODEL_FEATURES, prepared
+from cohortflow.plans.stats_queries import results_table
 from cohortflow.session import cut_lineage, materialized, read_table, scratch_path
 from cohortflow.sources import fixtures as FX
+from cohortflow.sources.exports import export, verify
 from cohortflow.sources.sinks import roundtrip_csv, roundtrip_parquet
 from cohortflow.sources.store_files import lookup, write_store
 from cohortflow.streaming import rescoring as R
@@ -184,6 +187,23 @@ def q_sink_roundtrip(spark, sf_dir):
     return roundtrip_csv(back, "cohort-csv")
 
 
+def q_export_tables(spark, sf_dir):
+    """SNK-2: train and test matrices and the statistics tables as files; per table and column its place, the rows that
+    the manifest lists, and whether the files read back agree with it."""
+    pr = prepared(spark, sf_dir)
+    ready = pr.applied()
+    tables = {}
+    for part in ("train", "test"):
+        rows = ready.filter(F.col("split") == part)
+        tables[f"X_{part}"] = (rows, ["row_id", *MODEL_FEATURES], ["row_id"])
+        tables[f"y_{part}"] = (rows, ["row_id", "label"], ["row_id"])
+    for name, stats, order in (("descriptive", q_describe_by_group(spark, sf_dir), ["feature", "grp"]), ("tests", results_table(spark, sf_dir), ["feature"])):
+        tables[name] = (stats, stats.columns, order)
+    path = scratch_path(spark, "exports")
+    export(spark, tables, path)
+    return verify(spark, path).select("table", F.posexplode("columns").alias("position", "column"), "n_rows", "verified")
+
+
 def q_stream_features(spark, sf_dir):
     """INC-4 on the given events table: the pattern finds one file as well as a folder of files."""
     events = read_table(spark, sf_dir, "events")
@@ -206,5 +226,6 @@ QUERIES = {
     "visit_history": q_visit_history,
     "expanding_features": q_expanding_features,
     "sink_roundtrip": q_sink_roundtrip,
+    "export_tables": q_export_tables,
     "stream_features": q_stream_features,
 }

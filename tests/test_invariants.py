@@ -379,3 +379,35 @@ def test_stream_of_a_folder_without_files_is_empty(spark, tmp_path):
     derive = lambda ev: C.parse_measurements(FX.lab_rows_from_events(ev))
     got = run_feature_stream(spark, str(tmp_path), events.schema, derive, "admission_no")
     assert got.count() == 0 and got.dtypes == feature_state(derive(events), "admission_no", "panel", "value", "performed_at", "row_id").dtypes
+
+
+def test_statistics_from_counts_equal_numpy(spark):
+    from cohortflow.operators import count_stats as CS
+    from cohortflow.operators import eda
+
+    rng = np.random.default_rng(11)
+    rows = [(i, int(rng.integers(0, 2)), "hot", float(np.round(rng.normal(1e7, 2), 2))) for i in range(3000)]
+    rows += [(i, 0, "few", 1.0) for i in range(2)] + [(9, 1, "few", 5.0), (7, None, "few", 3.0), (8, 0, "few", None), (6, 1, "none", None), (5, 0, "one", 4.0)]
+    rows += [(i, 0, "far", float(x)) for i, x in enumerate([1, 2, 2, 3, 100, float("inf")])] + [(20, 1, "far", 2.0)]
+    tall = spark.createDataFrame(rows, "row_id long, label int, feature string, value double")
+    got = {(r.feature, r.grp): r for r in CS.group_statistics(tall, "label").collect()}
+    boxes = {(r.feature, r.grp): r for r in CS.box_statistics(tall, "label").collect()}
+    want = {}
+    for _, label, feature, value in rows:
+        for g in ("All", str(label)):
+            if value is not None and g != "None":
+                want.setdefault((feature, g), []).append(value)
+    assert got.keys() == want.keys() == boxes.keys()
+    for key, values in want.items():
+        r, b, v = got[key], boxes[key], np.array(values)
+        q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75], method="linear")
+        assert (r.n, r.min, r.max) == (len(v), v.min(), v.max())
+        if np.isfinite(v).all():
+            assert abs(r.mean - v.mean()) < 1e-9 * max(1, abs(v.mean()))
+            assert r.std is None if len(v) == 1 else abs(r.std - v.std(ddof=1)) < 1e-7
+        assert np.allclose([r.q1, r.median, r.q3, b.q1, b.median, b.q3], [q1, q2, q3] * 2, rtol=1e-12)
+        inside = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
+        assert (b.whisker_lo, b.whisker_hi, b.n_fliers) == (inside.min(), inside.max(), len(v) - len(inside))
+    wide = {r.feature: r for r in eda.describe_wide(tall, "label").collect()}
+    assert set(wide) == {"hot", "few", "one", "far"} and wide["one"]["1_n"] == 0 and wide["one"]["1_mean"] is None and wide["few"]["All_n"] == 4
+    assert CS.group_statistics(tall.limit(0), "label").count() == 0
