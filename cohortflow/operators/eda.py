@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import rdp
 from cohortflow.operators import count_stats
+from cohortflow.operators.count_stats import ALL
 from cohortflow.session import cut_lineage
 
 CLASS_NAMES = {0: "No Complication", 1: "Complication"}  # fixed display names of the two classes
