@@ -155,13 +155,31 @@ def time_window(df: DataFrame, ts_col: str, start: str, end: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # AGG-1..5, PRJ-8: one row per entity
 # ---------------------------------------------------------------------------------------------
+def order_key(tall: DataFrame, ts_col: str, row_id_col: str) -> Column:
+    """(timestamp, row id) as one number of 38 digits in the same order, NULLs first.
+
+    An aggregate over it stays in a hash map, where a struct would sort.  Row ids that are no integers (or timestamps of
+    another type) keep the struct."""
+    kinds = {c: tall.schema[c].dataType.typeName() for c in (ts_col, row_id_col)}
+    if kinds[ts_col] not in ("timestamp", "timestamp_ntz") or kinds[row_id_col] not in ("byte", "short", "integer", "long"):
+        return F.struct(F.col(ts_col).alias("ts"), F.col(row_id_col).alias("rid"))
+    if kinds[ts_col] == "timestamp":
+        micros = F.unix_micros(F.col(ts_col)).cast("decimal(19,0)")
+    else:  # by the distance from a fixed day: a session zone with summer time would fold an hour
+        since = F.col(ts_col) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        micros = (since.cast("interval second").cast("decimal(19,6)") * F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(19,0)")
+    micros = F.coalesce(micros, F.lit("-4000000000000000000").cast("decimal(19,0)"))
+    rid = F.coalesce(F.col(row_id_col).cast("decimal(19,0)"), F.lit("-9223372036854775808").cast("decimal(19,0)"))
+    return (micros * F.lit("20000000000000000000").cast("decimal(20,0)") + rid).cast("decimal(38,0)")
+
+
 def _code_first_seen(
     tall: DataFrame, keys: Sequence[str], code_cols: Sequence[str], ts_col: str, row_id_col: str
 ) -> DataFrame:
     """(keys, kind, code, first) -- one row per distinct trimmed code per entity, with its first sighting."""
     stacked = tall.select(
         *keys,
-        F.struct(F.col(ts_col).alias("ts"), F.col(row_id_col).alias("rid")).alias("_seen"),
+        order_key(tall, ts_col, row_id_col).alias("_seen"),
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("kind"), F.trim(F.col(c)).alias("code")) for c in code_cols])
         ).alias("_kc"),
@@ -189,7 +207,7 @@ def entity_rollup(
     * code lists: distinct trimmed codes joined by ', ' in first-seen order, NULL when none.
 
     NULL keys form their own groups (SQL GROUP BY semantics).  Numeric statistics are one code-generated
-    hash aggregate; code rows are pre-aggregated to (entity, code) before their per-entity lists are built,
+    hash aggregate (`order_key` keeps (timestamp, row id) in one number, which a hash buffer can hold); code rows are pre-aggregated to (entity, code) before their per-entity lists are built,
     so a hot entity is reduced map-side in both.
     """
     keys = list(keys)
@@ -198,10 +216,10 @@ def entity_rollup(
         F.col(panel_col).alias("_panel"),
         F.col(value_col).alias("_value"),
         F.col(ts_col).alias("_ts"),
-        F.col(row_id_col).alias("_rid"),
+        order_key(tall, ts_col, row_id_col).alias("_order"),
     )
     aggs: list[Column] = []
-    order = F.struct(F.col("_ts"), F.col("_rid"))
+    order = F.col("_order")
     for p in panels:
         v = F.when(F.col("_panel") == F.lit(p), F.col("_value"))
         aggs += [

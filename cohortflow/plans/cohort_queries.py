@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortflow.operators import cohort as C
 from cohortflow.plans.common import round_doubles
 from cohortflow.session import materialized, scratch_path
 from cohortflow.sources import fixtures as FX
+from cohortflow.sources.panels import panel_path, stored_panels, write_panels
 
 RULES = FX.FIXTURE_RULES
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(spark, f"lab-parsed:{sf_dir}", lambda: C.parse_measurements(FX.lab_raw(spark, sf_dir)))
+    return stored_panels(spark, sf_dir, "lab-parsed", ["events"], lambda: C.parse_measurements(FX.lab_raw(spark, sf_dir)))
 
 
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = C.iqr_nullout(_parsed(spark, sf_dir))
-    return C.time_window(cleaned, "performed_at", RULES.start, RULES.end)
+    """Bounds from whole panels in a first pass; in the second the time range is filtered by the reader."""
+    parsed = _parsed(spark, sf_dir)
+    return C.iqr_nullout(C.time_window(parsed, "performed_at", RULES.start, RULES.end), bounds=C.iqr_bounds(parsed))
 
 
 def entity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,16 +34,13 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_panel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-1..3 / SET-1: each panel is stored as its own parquet source (headers spelled differently), one
-    listed source does not exist; the readable ones are harmonised and unioned by name."""
+    """SRC-1..3 / SET-1: the panels are stored in one pass over the source, a folder each, and read as sources of their
+    own with their own header spellings; one listed source does not exist.  The readable ones are harmonised and
+    unioned by name."""
     base = scratch_path(spark, "panels")
-    paths = {}
-    for name, sheet in FX.lab_panel_sheets(spark, sf_dir).items():
-        path = os.path.join(base, name)
-        sheet.write.mode("overwrite").parquet(path)
-        paths[name] = path
-    paths["absent_panel"] = os.path.join(base, "absent_panel")  # unreadable: skipped, the rest continue
-    sheets = C.read_panels(spark, paths)
+    write_panels(FX.lab_raw(spark, sf_dir), base)
+    paths = {name: panel_path(base, name) for name in [*FX.PANELS, "absent_panel"]}  # the last is unreadable: skipped
+    sheets = {name: df.withColumnsRenamed(FX.PANEL_HEADER_VARIANTS[name]) for name, df in C.read_panels(spark, paths).items()}
     return C.union_panels(sheets, FX.HEADER_SYNONYMS)
 
 

@@ -100,19 +100,6 @@ HEADER_SYNONYMS = {
 }
 
 
-def lab_panel_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One DataFrame per panel, each with its own header spelling and without the panel column."""
-    raw = lab_raw(spark, sf_dir)
-    out = {}
-    for p in PANELS:
-        sheet = raw.filter(F.col("panel") == p).drop("panel")
-        ren = PANEL_HEADER_VARIANTS[p]
-        if ren:
-            sheet = sheet.withColumnsRenamed(ren)
-        out[p] = sheet
-    return out
-
-
 _CODE_SQL = (
     "CASE WHEN event_type = 'signup' THEN 'I' || lpad(CAST(k AS VARCHAR), 2, '0') "
     "WHEN event_type = 'purchase' THEN 'E' || lpad(CAST(k AS VARCHAR), 2, '0') "
