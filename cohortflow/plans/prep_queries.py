@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortflow.operators import prep as P
 from cohortflow.operators.eda import to_tall
-from cohortflow.operators.resample import knn_exact, smote
+from cohortflow.operators.knn import knn_exact
+from cohortflow.operators.resample import smote
 from cohortflow.plans.common import round_doubles
 from cohortflow.plans.eda_queries import b_table
 from cohortflow.session import cut_lineage, session_object

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortflow.operators.resample import knn_exact
+from cohortflow.operators.knn import knn_exact
 from cohortflow.operators.visits import balanced_sample
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from cohortflow.operators import eda
 from cohortflow.operators import prep as P
+from cohortflow.operators.knn import knn_exact
 from cohortflow.operators.prefix import prefix_sums, running_stats
 from cohortflow.operators.quantiles import quantiles_wide
-from cohortflow.operators.resample import knn_exact, smote
+from cohortflow.operators.resample import smote
 
 
 def _values(spark, n=400, seed=7):
