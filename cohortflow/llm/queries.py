@@ -38,7 +38,7 @@ def op3_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards of near equal bytes."""
-    return sharding.kd_shards(table(spark, sf_dir, "documents"), 40)
+    return sharding.kd_shards(table(spark, sf_dir, "documents"), 40, whole_groups=True)
 
 
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,15 @@ aggregate of (node, digit) sums per round.  The driver sees one row per node and
 
 Law: `bytes`.  Leaf sizes differ by a few documents; a document larger than the target makes its own leaf large.
 
-Edge cases: a null text has no bytes (size 16, the framing) and checksum 0; null metadata sorts first; equal texts
-share all text-derived coordinates, and a group of copies larger than a leaf is divided by the tie-break (a hash
-of the id, then the row's place in the stored table, so repeated rows divide as well); an empty table gives an empty
-result; extra columns are ignored.
+Groups: with `whole_groups` the tree stands over groups of equal texts (weights summed, metadata of the smallest id, a
+tie-break from the text), so all copies of a text lie in one shard, whatever their sources and languages.  Only a group
+heavier than a leaf's target is divided, by a hash of the id, into parts of about a sixteenth of the target.  Leaves then
+differ by up to about the largest undivided group.  Without it every document is placed on its own.
+
+Edge cases: a null text has no bytes (size 16, the framing) and checksum 0, and is a copy of the empty text; null
+metadata sorts first; a group of copies larger than a leaf is divided by the tie-break (a hash of the id, then the row's
+place in the stored table, so repeated rows divide as well); an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -103,8 +108,23 @@ def kd_tree(rows: DataFrame, n_dims: int, shards: int, tolerance: float = 0.002)
     return root
 
 
+_UNIT = ["text_hash", "text_crc32", "size", "part"]
+
+
+def _parts(slim: DataFrame, shards: int) -> DataFrame:
+    """`slim` with `part`: 0, or for a group of equal texts above a leaf's target a part by the id.
+
+    At most `shards` groups are above the target, so their table is small whatever the input is."""
+    text = _UNIT[:3]
+    groups = slim.groupBy(*text).agg((F.count(F.lit(1)) * F.first("size")).alias("weight"))
+    target = (slim.agg(F.sum("size")).first()[0] or 0) / shards
+    heavy = groups.filter(F.col("weight") > F.lit(target)).select(*text, F.ceil(F.col("weight") * F.lit(16 / max(target, 1.0))).alias("parts"))
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "place"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    return slim.join(F.broadcast(heavy), text, "left").withColumn("part", part).drop("parts")
+
+
 def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
-              lang_col: str | None = "lang", chunks: int = 256, tolerance: float = 0.002) -> DataFrame:
+              lang_col: str | None = "lang", chunks: int = 256, tolerance: float = 0.002, whole_groups: bool = False) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot (gapless within the shard), grown_shard (null: the
     `bytes` law gives no promise about another number of shards).
 
@@ -114,15 +134,25 @@ def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: st
     crc = F.crc32(text.cast("binary"))
     code = lambda c: F.crc32(F.col(c).cast("binary")).cast("double") if c else F.lit(0.0)
     size = (F.octet_length(text) + F.lit(OVERHEAD)).cast("long")
-    slim = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), code(lang_col).alias("c0"), code(source_col).alias("c1"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
+                       code(lang_col).alias("c0"), code(source_col).alias("c1"))
     slim = stored(slim.withColumn("place", F.monotonically_increasing_id()), "shard-meta")
     raw = [F.col("c0"), F.col("c1"), F.log2(F.col("size").cast("double")), F.col("text_crc32").cast("double")]
     ends = slim.agg(*[F.struct(F.min(c), F.max(c)) for c in raw]).first()
-    tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(2**24)) * F.lit(2**12) + F.pmod(F.xxhash64("place"), F.lit(2**12))
+    if whole_groups:
+        slim = _parts(slim, shards)
+        units = slim.groupBy(*_UNIT).agg((F.count(F.lit(1)) * F.first("size")).alias("weight"), F.min(F.struct("doc_id", "c0", "c1")).alias("head"))
+        units = units.select(*_UNIT, "weight", "head.c0", "head.c1")
+        tie = F.pmod(F.xxhash64(*_UNIT), F.lit(2**36))
+    else:
+        units = slim.withColumn("weight", F.col("size"))
+        tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(2**24)) * F.lit(2**12) + F.pmod(F.xxhash64("place"), F.lit(2**12))
     keys = [(_coordinate(c, F.lit(e[0]).cast("double"), F.lit(e[1]).cast("double")) * F.lit(2**36) + tie).alias(f"key{d}") for d, (c, e) in enumerate(zip(raw, ends))]
-    rows = stored(slim.select("doc_id", "size", "text_crc32", "place", *keys, F.col("size").alias("weight")), "shard-keys")
+    rows = stored(units.select(*(_UNIT if whole_groups else ["doc_id", "size", "text_crc32", "place"]), *keys, "weight"), "shard-keys")
     root = kd_tree(rows, len(raw), shards, tolerance)
     out = rows.withColumn("shard", _at_leaf(root, lambda n: F.lit(n.first)).cast("int"))
+    if whole_groups:
+        out = slim.join(out.select(*_UNIT, "shard"), _UNIT)
     chunk = F.pmod(F.xxhash64("doc_id", "place"), F.lit(chunks)).cast("int")
     out = numbered(out, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("place")], chunk, chunks, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from conftest import MEDIUM, SMALL
 from oracle_harness import compare, duck
 from pyspark.sql import functions as F
 
@@ -198,7 +198,61 @@ def test_shards_are_even_with_a_hot_group(spark):
     assert len(counts) == 4 and max(counts) < 1.3 * min(counts)
 
 
+def _brute_tree(rows, first, k, dims):
+    """{place of a row: first shard of its leaf} by sorting: rows are (place, keys, weight)."""
+    if k == 1 or not rows:
+        return {p: first for p, _, _ in rows}
+    spread = [max(r[1][d] for r in rows) - min(r[1][d] for r in rows) for d in range(dims)]
+    dim, goal, upto = spread.index(max(spread)), sum(r[2] for r in rows) * (k // 2) / k, 0
+    for key in sorted({r[1][dim] for r in rows}):
+        here = sum(r[2] for r in rows if r[1][dim] == key)
+        if upto + here >= goal:
+            cut = key if goal - upto <= upto + here - goal else key + 1
+            break
+        upto += here
+    left = [r for r in rows if r[1][dim] < cut]
+    return {**_brute_tree(left, first, k // 2, dims), **_brute_tree([r for r in rows if r[1][dim] >= cut], first + k // 2, k - k // 2, dims)}
+
+
+@pytest.mark.parametrize("shards", [1, 5, 8])
+def test_tree_equals_brute_force(spark, shards):
+    rnd = random.Random(shards)
+    rows = [(i, [rnd.randrange(2**60), rnd.randrange(2**40) << (i % 20), 7], rnd.choice([1, 1, 5, 400])) for i in range(150)]
+    rows += [(200 + i, rows[0][1], 30) for i in range(9)]
+    df = spark.createDataFrame([(i, *keys, w) for i, keys, w in rows], "place long, key0 long, key1 long, key2 long, weight long")
+    root = sharding.kd_tree(df, 3, shards, tolerance=0.0)
+    got = {r.place: r.s for r in df.select("place", sharding._at_leaf(root, lambda n: F.lit(n.first)).alias("s")).collect()}
+    assert got == _brute_tree(rows, 0, shards, 3)
+
+
+def test_whole_groups(spark, docs):
+    rows = Q.op4_kd_sharding(spark, MEDIUM).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
+    of, weight, bytes_ = defaultdict(set), defaultdict(int), defaultdict(int)
+    for r in rows:
+        of[texts[r.doc_id]].add(r.shard)
+        weight[texts[r.doc_id]] += r.size
+        bytes_[r.shard] += r.size
+    target = sum(weight.values()) / 40
+    assert all(len(s) == 1 for t, s in of.items() if weight[t] <= target)
+    most = max(w for w in weight.values() if w <= target)
+    assert len(bytes_) == 40 and all(abs(b - target) <= most for b in bytes_.values())
+    # a pair in one source, a pair across sources and languages, a group above the target, repeated rows, null and empty
+    data = [(i, f"text number {i} of its own " * 3, "a", "en") for i in range(300)]
+    data += [(400, "pair one", "a", "en"), (401, "pair one", "a", "en"), (402, "pair two", "a", "en"), (403, "pair two", "b", None), (403, "pair two", "b", None)]
+    data += [(500 + i, "a hot text that stands everywhere " * 2, "ab"[i % 2], "en") for i in range(400)]
+    data += [(1000, None, None, None), (1001, "", "b", "de")]
+    out = sharding.kd_shards(spark.createDataFrame(data, "doc_id long, text string, source string, lang string"), 8, whole_groups=True).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.doc_id].append(r.shard)
+    assert len(out) == len(data) and by[400] == by[401] and set(by[402]) == set(by[403]) and len(by[403]) == 2 and by[1000] == by[1001]
+    sizes = [sum(r.size for r in out if r.shard == s) for s in range(8)]
+    assert max(sizes) < 1.2 * min(sizes), sizes
+
+
 def test_shards_odd_rows(odd, none, tmp_path):
+    assert sharding.kd_shards(odd, 3, whole_groups=True).count() == len(ODD) and sharding.kd_shards(none, 3, whole_groups=True).count() == 0
     out = sharding.kd_shards(odd, 3)
     assert out.count() == len(ODD) and sharding.kd_shards(none, 3).count() == 0
     unique = odd.filter("doc_id > 5")
