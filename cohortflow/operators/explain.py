@@ -102,30 +102,37 @@ def waterfall(attr: DataFrame, cases: DataFrame, id_col: str = "row_id") -> Data
 
 
 # EXP-7 / SCL-11 -----------------------------------------------------------------------------
-# fixed thresholds for z-score wording (the labels themselves are ours)
+# fixed values: thresholds of the z-score bands, and their wording in order
 Z_BANDS = [(1.5, "very high"), (0.5, "high"), (0.0, "slightly above average"), (-0.5, "slightly below average"), (-1.5, "low")]
 Z_FLOOR_LABEL = "very low"
+# fixed values: the same for an age, which has no band at the average
+AGE_BANDS = [(1.5, "very old"), (0.5, "old"), (-0.5, "middle-aged"), (-1.5, "young")]
+AGE_FLOOR_LABEL = "very young"
 
 
-def z_label(z: Column) -> Column:
+def z_label(z: Column, bands: Sequence[tuple[float, str]] = Z_BANDS, floor: str = Z_FLOOR_LABEL) -> Column:
+    """The label of the first threshold that z exceeds (thresholds descending), else `floor`; a NULL z is `floor`."""
     expr = None
-    for t, lbl in Z_BANDS:
+    for t, lbl in bands:
         expr = F.when(z > F.lit(t), F.lit(lbl)) if expr is None else expr.when(z > F.lit(t), F.lit(lbl))
-    return expr.otherwise(F.lit(Z_FLOOR_LABEL))
+    return expr.otherwise(F.lit(floor))
 
 
-def describe_value(feature: Column, value: Column, z: Column, binary_labels: Mapping[str, tuple[str, str]]) -> Column:
-    """Binary features -> their 0/1 wording; continuous -> z-score band wording."""
+def describe_value(feature: Column, value: Column, z: Column, binary_labels: Mapping[str, tuple[str, str]], age_features: Sequence[str] = ()) -> Column:
+    """Binary features -> their 0/1 wording; ages -> age bands; other continuous ones -> z-score band wording."""
     expr = None
     for f, (no, yes) in binary_labels.items():
         lbl = F.when(F.round(value) >= 1, F.lit(yes)).otherwise(F.lit(no))
         expr = F.when(feature == F.lit(f), lbl) if expr is None else expr.when(feature == F.lit(f), lbl)
+    for f in age_features:
+        lbl = z_label(z, AGE_BANDS, AGE_FLOOR_LABEL)
+        expr = F.when(feature == F.lit(f), lbl) if expr is None else expr.when(feature == F.lit(f), lbl)
     cont = z_label(z)
     return cont if expr is None else expr.otherwise(cont)
 
 
 def reasons(attr: DataFrame, rows: DataFrame, binary_labels: Mapping[str, tuple[str, str]], threshold: float = 0.05,
-            id_col: str = "row_id") -> DataFrame:
+            id_col: str = "row_id", age_features: Sequence[str] = ()) -> DataFrame:
     """|c| >= threshold, split by sign; raising sorted by c desc, lowering by c asc; values described."""
     sel = attr.join(rows.select(id_col, "list"), id_col).filter(F.abs("contribution") >= F.lit(threshold))
     sel = sel.withColumn("direction", F.when(F.col("contribution") > 0, F.lit("raises")).otherwise(F.lit("lowers")))
@@ -133,7 +140,7 @@ def reasons(attr: DataFrame, rows: DataFrame, binary_labels: Mapping[str, tuple[
     w = Window.partitionBy(id_col, "direction").orderBy(key, "feature")
     return sel.select(
         "list", id_col, "direction", F.row_number().over(w).cast("bigint").alias("rank"), "feature", "contribution",
-        describe_value(F.col("feature"), F.col("value"), F.col("z"), binary_labels).alias("description"),
+        describe_value(F.col("feature"), F.col("value"), F.col("z"), binary_labels, age_features).alias("description"),
     )
 
 
